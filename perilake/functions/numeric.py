@@ -16,6 +16,11 @@ def round_to(col: Column, digits: int = 0) -> Column:
     return F.round(col * factor, 0) / factor
 
 
+def to_whole(col: Column) -> Column:
+    """Cast to INT as SQL engines do it: to the nearest, halves to even."""
+    return F.rint(col.cast("double")).cast("int")
+
+
 def exact_sum(col: Column, scale: int = MONEY_SCALE) -> Column:
     """Order-independent sum: fixed point inside, double outside."""
     return F.sum(col.cast(T.DecimalType(14 + scale, scale))).cast("double")
@@ -25,12 +30,6 @@ def exact_avg(col: Column, scale: int = MONEY_SCALE) -> Column:
     return F.try_divide(exact_sum(col, scale), F.count(col).cast("double"))
 
 
-def share(predicate: Column) -> Column:
-    """Fraction of all rows for which the predicate holds; NULL on no rows."""
-    hits = F.count_if(predicate).cast("double")
-    return F.try_divide(hits, F.count(F.lit(1)).cast("double"))
-
-
 def percent(part: Column, whole: Column, digits: int) -> Column:
     ratio = F.try_divide(part.cast("double"), whole.cast("double"))
     return round_to(ratio * F.lit(100.0), digits)

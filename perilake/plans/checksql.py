@@ -112,16 +112,20 @@ MOTOR_STEPS = [MOTOR_RAW, BRONZE_MOTOR, TYPED_MOTOR, SILVER_MOTOR, GOLD_MOTOR]
 CLAIMS_STEPS = [CLAIMS_RAW, BRONZE_CLAIMS, SILVER_CLAIMS, GOLD_CLAIMS]
 
 
-def over_motor(body: str) -> str:
-    return "WITH " + ",\n".join(MOTOR_STEPS) + "\n" + body
+def _with(steps: list[str], body: str) -> str:
+    return "WITH " + ",\n".join(steps) + "\n" + body
 
 
-def over_claims(body: str) -> str:
-    return "WITH " + ",\n".join(CLAIMS_STEPS) + "\n" + body
+def over_motor(body: str, *steps: str) -> str:
+    return _with([*MOTOR_STEPS, *steps], body)
+
+
+def over_claims(body: str, *steps: str) -> str:
+    return _with([*CLAIMS_STEPS, *steps], body)
 
 
 def over_both(body: str, *steps: str) -> str:
-    return "WITH " + ",\n".join([*MOTOR_STEPS, *CLAIMS_STEPS, *steps]) + "\n" + body
+    return _with([*MOTOR_STEPS, *CLAIMS_STEPS, *steps], body)
 
 
 def money_sum(col: str, scale: int = 4) -> str:

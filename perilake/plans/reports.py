@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from perilake.functions import risk
-from perilake.functions.numeric import exact_avg, exact_sum, percent, round_to
+from perilake.functions.numeric import exact_avg, exact_sum, percent, round_to, to_whole
 from perilake.functions.ordering import down, top, up
 from perilake.plans.catalog import plan
 from perilake.plans.checksql import money_avg, money_sum, over_claims, over_motor
@@ -87,7 +87,7 @@ def g03(lake):
 def policies_by_year(gold: DataFrame) -> DataFrame:
     return (
         gold.where(F.col("PROD_YEAR").isNotNull())
-        .groupBy(round_to(F.col("PROD_YEAR")).cast("int").alias("year"))
+        .groupBy(to_whole(F.col("PROD_YEAR")).alias("year"))
         .agg(count_all().alias("cnt"))
         .orderBy(up("year"))
     )
