@@ -18,9 +18,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from perilake.functions import risk
+from perilake.functions.numeric import exact_avg
 from perilake.functions.ordering import down, up
 from perilake.sources.schemas import FEATURES
 
+IMPACT_SCALE = 10
+
 # Leaf: (value, [(feature, low, high, share of rows that stay inside), ...])
 Leaf = tuple[float, list[tuple[int, float, float, float]]]
 
@@ -164,6 +167,6 @@ def importance(df: DataFrame) -> DataFrame:
     long = df.select(F.inline("impacts"))
     return (
         long.groupBy("feature")
-        .agg(F.avg(F.abs("impact")).alias("importance"))
+        .agg(exact_avg(F.abs("impact"), IMPACT_SCALE).alias("importance"))
         .orderBy(down("importance"), up("feature"))
     )

@@ -6,10 +6,11 @@ import threading
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from perilake.functions.parsing import normalize_missing
-from perilake.operators import cleaning, encoding, features
+from perilake.operators import cleaning, encoding, features, models
 from perilake.session import shared_root
 from perilake.sources import testbed
 from perilake.sources.schemas import CATEGORIES
@@ -28,6 +29,7 @@ class Lake:
         self.spark = spark
         self.store = Warehouse(spark, root)
         self._raw = {"claims": claims, "motor": motor}
+        self._models: set[str] = set()
         self._lock = threading.RLock()
 
     def stored(self, layer: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -51,6 +53,15 @@ class Lake:
             return self.stored("gold", name, lambda: features.gold_motor(self.silver(name)))
         return self.stored("gold", name, lambda: features.gold_claims(self.silver(name), self.encoder()))
 
+    def model(self, name: str, train: Callable[[], PipelineModel]) -> PipelineModel:
+        """A model trained once per lake and loaded from its saved form."""
+        path = self.store.path("models", name)
+        with self._lock:
+            if name not in self._models:
+                models.save_model(train(), path)
+                self._models.add(name)
+        return models.load_model(path)
+
     def load_all(self) -> None:
         for name in ("claims", "motor"):
             self.gold(name)
