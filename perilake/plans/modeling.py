@@ -70,7 +70,7 @@ def m04(lake):
 
 @plan("a08_reloaded_model_scores")
 def a08(lake):
-    path = lake.store.path("models", "forest_copy")
+    path = lake.store.fresh_path("models", "forest_copy")
     models.save_model(forest(lake), path)
     return models.score(models.load_model(path), lake.gold("claims"), keep=["ID"])
 
@@ -208,7 +208,7 @@ def m09_trained(lake):
     ),
 )
 def a07(lake):
-    path = lake.store.path("models", "metrics_json")
+    path = lake.store.fresh_path("models", "metrics_json")
     both = quality(given(lake).select("label", "score"))
     rounded = both.select(*[(F.round(F.col(c) * 10000.0, 0) / 10000.0).alias(c) for c in ("accuracy", "roc_auc")])
     files.write_metrics(rounded, path)
@@ -220,21 +220,21 @@ def a07(lake):
 
 @plan("m10_attribution")
 def m10(lake):
-    path = lake.store.path("models", "forest_nodes")
+    path = lake.store.fresh_path("models", "forest_nodes")
     explained = attribution.attribute(forest(lake), lake.gold("claims"), path, keep=["ID"])
     return explained.select("ID", "base", F.inline("impacts"))
 
 
 @plan("m10_boosted_attribution")
 def m10_boosted(lake):
-    path = lake.store.path("models", "boosted_nodes")
+    path = lake.store.fresh_path("models", "boosted_nodes")
     explained = attribution.attribute(boosted(lake), lake.gold("claims"), path, keep=["ID"])
     return attribution.factor_rows(explained, ["ID"], 3)
 
 
 @plan("m11_forest_importance")
 def m11_forest(lake):
-    path = lake.store.path("models", "forest_importance_nodes")
+    path = lake.store.fresh_path("models", "forest_importance_nodes")
     return attribution.importance(attribution.attribute(forest(lake), split(lake)[1], path, keep=["ID"]))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from perilake.functions import numeric, parsing, risk
@@ -17,7 +19,7 @@ from perilake.sources.schemas import CATEGORIES, CLAIMS, FEATURES, MOTOR
 
 @plan("a01_csv_source", over_motor("SELECT * FROM bronze_motor"))
 def a01(lake):
-    path = lake.store.path("export", "motor_csv")
+    path = lake.store.fresh_path("export", "motor_csv")
     files.write_csv(lake.bronze("motor"), path)
     return files.read_csv(lake.spark, path, MOTOR)
 
@@ -39,8 +41,9 @@ def a03_claims(lake):
 
 @plan("a04_write_gold_motor", over_motor("SELECT * FROM gold_motor"))
 def a04(lake):
-    lake.store.write(features.gold_motor(lake.silver("motor")), "copy", "motor", partition_by=["USAGE"])
-    return lake.store.read("copy", "motor").withColumn("USAGE", F.col("USAGE").cast("string"))
+    name = f"motor-{uuid.uuid4().hex}"
+    lake.store.write(features.gold_motor(lake.silver("motor")), "copy", name, partition_by=["USAGE"])
+    return lake.store.read("copy", name)
 
 
 @plan("a04_write_gold_claims", over_claims("SELECT * FROM gold_claims"))
@@ -66,7 +69,7 @@ def a05(lake):
 
 @plan("a06_csv_sink", over_claims("SELECT * FROM gold_claims"))
 def a06(lake):
-    gold, path = lake.gold("claims"), lake.store.path("export", "claims_csv")
+    gold, path = lake.gold("claims"), lake.store.fresh_path("export", "claims_csv")
     files.write_csv(gold, path)
     return files.read_csv(lake.spark, path, gold.schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -17,6 +18,10 @@ class Warehouse:
     def path(self, layer: str, name: str) -> str:
         return f"{self.root}/{layer}/{name}"
 
+    def fresh_path(self, layer: str, name: str) -> str:
+        """A path of its own per call, so that no plan replaces files another one reads."""
+        return f"{self.path(layer, name)}-{uuid.uuid4().hex}"
+
     def read(self, layer: str, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(layer, name))
 
