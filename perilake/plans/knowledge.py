@@ -8,6 +8,7 @@ from perilake.operators import chunks as chunking, retrieval, vectors
 from perilake.plans import reports
 from perilake.plans.catalog import plan
 from perilake.plans.checksql import over_both, over_motor
+from perilake.sources.tables import spread
 
 K = 6
 
@@ -114,13 +115,17 @@ def v01(lake):
     return _rounded_entries(document_vectors(lake), "doc_id")
 
 
+def documents(lake) -> DataFrame:
+    return spread(lake.table("documents").select("doc_id", "text"))
+
+
 def document_embedder(lake):
-    return lake.model("document_embedder", lambda: vectors.fit_embedder(lake.table("documents")))
+    return lake.model("document_embedder", lambda: vectors.fit_embedder(documents(lake)))
 
 
 def document_vectors(lake) -> DataFrame:
     def build():
-        return vectors.embed_text(lake.table("documents").select("doc_id", "text"), document_embedder(lake)).drop("text")
+        return vectors.embed_text(documents(lake), document_embedder(lake)).drop("text")
 
     return lake.stored("gold", "document_vectors", build)
 

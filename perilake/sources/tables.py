@@ -39,6 +39,16 @@ class Warehouse:
         df.write.mode("append").parquet(self.path(layer, name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small scan out over all cores; leave any larger scan as it is.
+
+    A scan with no more splits than there are cores holds at most one split per
+    core, so this shuffle is small; a large table never takes this branch.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def append_batch(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of both frames, matched by column name, repeats kept."""
     return target.unionByName(batch)

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from perilake.sources.tables import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table is one file of one row group: without this, one task's work."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _dec(col: Column, precision: int, scale: int = 2) -> Column:
     return col.cast(T.DecimalType(precision, scale))
 
@@ -19,7 +26,8 @@ def _short_date(col: Column) -> Column:
 
 def motor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One policy per lineitem, every column as raw text."""
-    line, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
+    line = spread_table(spark, sf_dir, "lineitem")
+    orders, part = (table(spark, sf_dir, n) for n in ("orders", "part"))
     joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )
