@@ -31,6 +31,8 @@ Leaf = tuple[float, list[tuple[int, float, float, float]]]
 def ensemble_leaves(spark: SparkSession, model: PipelineModel, path: str) -> list[Leaf]:
     """Leaves of the saved ensemble, at most trees * 2^depth of them.
 
+    That bound is set by the model's parameters, not by the data it was fit on.
+
     Forest leaves carry the class-1 probability divided by the number of trees;
     boosted leaves carry log-odds (twice the weighted tree output).
     """
@@ -67,6 +69,22 @@ def base_value(leaves: Sequence[Leaf]) -> float:
     return float(sum(value * np.prod([stay for *_, stay in box]) for value, box in leaves))
 
 
+def pack(leaves: Sequence[Leaf]) -> list[tuple[np.ndarray, ...]]:
+    """Leaves as arrays, one group per path length: values, features, low, high, stay."""
+    groups: dict[int, list[Leaf]] = defaultdict(list)
+    for leaf in leaves:
+        if leaf[1]:  # a tree of one leaf has no impact on any row
+            groups[len(leaf[1])].append(leaf)
+    return [
+        (
+            np.array([value for value, _ in group]),
+            np.array([[f for f, *_ in box] for _, box in group], dtype=np.int16),
+            *(np.array([[b[k] for b in box] for _, box in group]) for k in (1, 2, 3)),
+        )
+        for group in groups.values()
+    ]
+
+
 def leaf_shares(inside: np.ndarray, stay: np.ndarray) -> np.ndarray:
     """Shapley weights per path feature for each 0/1 row of ``inside``."""
     n, d = inside.shape
@@ -84,20 +102,16 @@ def leaf_shares(inside: np.ndarray, stay: np.ndarray) -> np.ndarray:
     return out
 
 
-def shapley(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
+def shapley(x: np.ndarray, packed: Sequence[tuple[np.ndarray, ...]]) -> np.ndarray:
     """Impact of each feature on each row of ``x``."""
     impact = np.zeros(x.shape)
-    for value, box in leaves:
-        if not box:
-            continue
-        columns = [f for f, *_ in box]
-        low, high, stay = (np.array([b[k] for b in box]) for k in (1, 2, 3))
-        part = x[:, columns]
-        inside = (part > low) & (part <= high)
-        bits = inside @ (1 << np.arange(len(box)))
-        kinds, first, which = np.unique(bits, return_index=True, return_inverse=True)
-        shares = leaf_shares(inside[first].astype(float), stay)
-        impact[:, columns] += value * shares[which]
+    for group in packed:
+        places = 1 << np.arange(group[1].shape[1])
+        for value, columns, low, high, stay in zip(*group):
+            part = x[:, columns]
+            inside = (part > low) & (part <= high)
+            _, first, which = np.unique(inside @ places, return_index=True, return_inverse=True)
+            impact[:, columns] += value * leaf_shares(inside[first].astype(float), stay)[which]
     return impact
 
 
@@ -112,7 +126,7 @@ def attribute(
     spark = df.sparkSession
     leaves = ensemble_leaves(spark, model, path)
     base = base_value(leaves)
-    shared = spark.sparkContext.broadcast(leaves)
+    shared = spark.sparkContext.broadcast(pack(leaves))
     keep, features = list(keep), list(features)
     held = [f"_k{i}" for i in range(len(keep))]
     rows = df.select(

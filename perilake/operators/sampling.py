@@ -1,10 +1,23 @@
-"""Deterministic train/test split that needs neither a sort nor a shuffle."""
+"""Deterministic train/test splits that never sort the rows."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+CLASS_LIMIT = 100
+# Digits by which one pass narrows the cut-off: at most 16^3 counts per class.
+STEP = 3
+AFTER_ALL_DIGITS = "g"
+
+
+def _digest(key: Column, seed: int) -> Column:
+    return F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
+
+
 def hash_below(key: Column, share: float, seed: int) -> Column:
     """True for about ``share`` of all keys; the same key always gets the same side.
 
@@ -13,8 +26,7 @@ def hash_below(key: Column, share: float, seed: int) -> Column:
     """
     if not 0.0 < share < 1.0:
         raise ValueError("share must lie between 0 and 1")
-    digest = F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
-    return F.substring(digest, 1, 8) < F.lit(format(int(share * 2**32), "08x"))
+    return F.substring(_digest(key, seed), 1, 8) < F.lit(format(int(share * 2**32), "08x"))
 
 
 def stratified_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -25,3 +37,45 @@ def stratified_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42
 def train_and_test(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     held = hash_below(F.col(key), share, seed)
     return df.where(~held), df.where(held)
+
+
+def class_cutoffs(df: DataFrame, label: str, key: str, share: float, seed: int) -> dict:
+    """Per class, a text that exactly ``ceil(share * rows)`` digests lie below.
+
+    Each pass counts the rows per digest prefix inside the prefix found so far,
+    so only counts reach the driver. Rows with equal keys are never separated,
+    which can put a class over its number by the copies of one key.
+    """
+    rows = df.select(F.col(label).alias("_label"), _digest(F.col(key), seed).alias("_digest"))
+    sizes = rows.groupBy("_label").count().limit(CLASS_LIMIT + 1).collect()
+    if len(sizes) > CLASS_LIMIT:
+        raise ValueError(f"more than {CLASS_LIMIT} classes in {label}")
+    found, searched = {}, {r["_label"]: ("", ceil(Decimal(str(share)) * r["count"])) for r in sizes}
+    length = 0
+    while searched:
+        length = min(length + STEP, 32)
+        wanted = F.lit(False)
+        for value, (prefix, _) in searched.items():
+            wanted = wanted | (F.col("_label").eqNullSafe(F.lit(value)) & F.col("_digest").startswith(prefix))
+        counts = rows.where(wanted).groupBy("_label", F.substring("_digest", 1, length).alias("_prefix")).count()
+        left = {value: need for value, (_, need) in searched.items()}
+        for r in sorted(counts.collect(), key=lambda r: r["_prefix"]):
+            value = r["_label"]
+            if value not in left:
+                continue
+            if r["count"] < left[value]:
+                left[value] -= r["count"]
+            elif r["count"] == left[value] or length == 32:
+                found[value] = r["_prefix"] + AFTER_ALL_DIGITS
+                del left[value], searched[value]
+            else:
+                searched[value] = (r["_prefix"], left.pop(value))
+    return found
+
+
+def exact_split(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Add ``is_test`` so that each class gives the same share to the row."""
+    below = F.lit(False)
+    for value, cutoff in class_cutoffs(df, label, key, share, seed).items():
+        below = below | (F.col(label).eqNullSafe(F.lit(value)) & (_digest(F.col(key), seed) < cutoff))
+    return df.withColumn("is_test", below.cast("int"))

@@ -30,6 +30,17 @@ def m01(lake):
     return sampling.stratified_split(lake.gold("claims"), "ID").select("ID", "OUTCOME", "is_test")
 
 
+@plan(
+    "m01_exact_split",
+    over_claims(
+        """SELECT ID, OUTCOME, CAST(row_number() OVER (PARTITION BY OUTCOME ORDER BY md5(CAST(ID AS VARCHAR) || '-42'))
+        <= ceil(0.2 * count(*) OVER (PARTITION BY OUTCOME)) AS INTEGER) AS is_test FROM gold_claims"""
+    ),
+)
+def m01_exact(lake):
+    return sampling.exact_split(lake.gold("claims"), TARGET, "ID").select("ID", "OUTCOME", "is_test")
+
+
 def split(lake) -> tuple[DataFrame, DataFrame]:
     return sampling.train_and_test(lake.gold("claims"), "ID")
 

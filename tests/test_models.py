@@ -50,7 +50,7 @@ def test_forest_shapley_is_exact(spark, small, tmp_path):
     df, x = small
     model = models.train_forest(df, NAMES, "y", trees=5, depth=4)
     leaves = attribution.ensemble_leaves(spark, model, str(tmp_path / "forest"))
-    got = attribution.shapley(x[:15], leaves)
+    got = attribution.shapley(x[:15], attribution.pack(leaves))
     for row, impact in zip(x[:15], got):
         assert impact == pytest.approx(brute_force(leaves, row), abs=1e-12)
 
@@ -71,6 +71,14 @@ def test_impacts_add_up_to_the_model_output(spark, small, tmp_path, kind):
     assert explained.count() == 400
 
 
+def test_shapley_of_deep_paths(spark):
+    rng = np.random.default_rng(2)
+    leaves = [(rng.normal(), [(f, -0.5, rng.normal(), rng.random()) for f in range(9)]) for _ in range(3)]
+    x = rng.normal(size=(6, 9))
+    for row, impact in zip(x, attribution.shapley(x, attribution.pack(leaves))):
+        assert impact == pytest.approx(brute_force(leaves, row), abs=1e-12)
+
+
 def test_constant_model_has_no_impacts(spark, tmp_path):
     df = spark.createDataFrame([(i, 1.0, 1.0, float(i % 2)) for i in range(20)], "id long, a double, b double, y double")
     model = models.train_forest(df, ["a", "b"], "y", trees=2, depth=3)

@@ -46,3 +46,14 @@ def test_split_is_stable_and_close_to_its_share(spark):
     assert train.count() + test.count() == 20000 and train.join(test, "id").count() == 0
     with pytest.raises(ValueError):
         sampling.hash_below(F.col("id"), 1.5, 1)
+
+
+def test_exact_split_takes_the_exact_share(spark):
+    df = spark.range(9001).withColumn("y", F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 3))
+    got = sampling.exact_split(df.repartition(7), "y", "id", 0.2, 42)
+    for r in got.groupBy("y").agg(F.count("*").alias("n"), F.sum("is_test").alias("t")).collect():
+        assert r["t"] == -(-r["n"] // 5)
+    copies = df.unionByName(df.where("id = 3")).unionByName(df.where("id = 3"))
+    sides = sampling.exact_split(copies, "y", "id").groupBy("id").agg(F.countDistinct("is_test").alias("n"))
+    assert sides.where("n > 1").count() == 0
+    assert sampling.exact_split(df.limit(0), "y", "id").count() == 0
