@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from perilake.functions.numeric import MONEY_SCALE
+from perilake.functions.numeric import MONEY_SCALE, fixed_sum
 
 
 def partials(
@@ -23,7 +23,7 @@ def partials(
     figures = [F.count(F.lit(1)).alias("n")]
     for c, scale in scales.items():
         figures.append(F.count(c).alias(f"cnt_{c}"))
-        figures.append(F.sum(F.col(c).cast(T.DecimalType(14 + scale, scale))).alias(f"sum_{c}"))
+        figures.append(fixed_sum(F.col(c), scale).alias(f"sum_{c}"))
     for c in extremes:
         figures += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
     return df.groupBy(*keys).agg(*figures)

@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from conftest import values
@@ -31,6 +32,20 @@ def test_sums_ignore_row_order(spark):
         assert values(df.agg(numeric.exact_sum(F.col("x")))) == [(30.0,)]
 
 
+@pytest.mark.parametrize("scale", [0, 4, 10])
+def test_fixed_sums_against_exact_arithmetic(spark, scale):
+    texts = ["-0.0003", "0.0001", "123456.7891", "-99999.5", "0", "7", "81234567.25", "-81234567.5"]
+    df = spark.createDataFrame([(float(t),) for t in texts] + [(None,)], "x double").repartition(3)
+    want = sum(Decimal(t).quantize(Decimal(1).scaleb(-scale), "ROUND_HALF_EVEN") for t in texts)
+    got = df.agg(numeric.fixed_sum(F.col("x"), scale).alias("s")).first()["s"]
+    assert got == want and df.limit(0).agg(numeric.fixed_sum(F.col("x"), scale)).first()[0] is None
+
+
+def test_fixed_sum_of_large_values(spark):
+    df = spark.createDataFrame([(9e11 - 0.125,)] * 1000 + [(-9e11,)] * 999, "x double")
+    assert df.agg(numeric.fixed_sum(F.col("x"))).first()[0] == Decimal("899999999875")
+
+
 def test_average_of_nothing_is_null(spark):
     df = spark.createDataFrame([], "x double")
     assert values(df.agg(numeric.exact_avg(F.col("x")))) == [(None,)]
