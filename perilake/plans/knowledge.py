@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from perilake.functions.numeric import round_to
 from perilake.operators import chunks as chunking, retrieval, vectors
 from perilake.plans import reports
 from perilake.plans.catalog import plan
@@ -98,8 +99,7 @@ def _nearest(question: str, corpus: str, k: int) -> str:
 
 def _rounded_entries(df: DataFrame, *keep: str) -> DataFrame:
     entries = df.select(*keep, F.posexplode("embedding").alias("pos", "w"))
-    weight = F.round(F.col("w").cast("double") * 100000.0, 0) / 100000.0
-    return entries.select(*keep, "pos", weight.alias("weight"))
+    return entries.select(*keep, "pos", round_to(F.col("w"), 5).alias("weight"))
 
 
 _DOC_VECTORS = (_terms("doc", "documents", "doc_id"), _vectors("doc", "documents", "doc_id", "doc", "documents"))
@@ -161,7 +161,7 @@ def centroids(embeddings: DataFrame) -> DataFrame:
     """One question per label: the mean vector of the label."""
     entries = embeddings.select("label", F.posexplode("embedding").alias("pos", "w"))
     means = entries.groupBy("label", "pos").agg(F.avg(F.col("w").cast("double")).alias("m"))
-    rounded = means.withColumn("m", F.round(F.col("m") * 1e6, 0) / 1e6)
+    rounded = means.withColumn("m", round_to(F.col("m"), 6))
     gathered = rounded.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("e"))
     return gathered.select(
         F.col("label").cast("bigint").alias("question_id"),

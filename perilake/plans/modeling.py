@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from perilake.operators import attribution, metrics, models, sampling
+from perilake.functions.numeric import round_to
 from perilake.functions.ordering import top
+from perilake.operators import attribution, metrics, models, sampling
 from perilake.plans.catalog import plan
 from perilake.plans.checksql import over_claims
 from perilake.sources import files
@@ -221,7 +222,7 @@ def m09_trained(lake):
 def a07(lake):
     path = lake.store.fresh_path("models", "metrics_json")
     both = quality(given(lake).select("label", "score"))
-    rounded = both.select(*[(F.round(F.col(c) * 10000.0, 0) / 10000.0).alias(c) for c in ("accuracy", "roc_auc")])
+    rounded = both.select(*[round_to(F.col(c), 4).alias(c) for c in ("accuracy", "roc_auc")])
     files.write_metrics(rounded, path)
     return files.read_metrics(lake.spark, path, rounded.schema)
 

@@ -9,7 +9,7 @@ from perilake.functions import numeric, risk, text
 from perilake.functions.ordering import top, up
 
 
-@pytest.mark.parametrize("x, digits, want", [(1.005, 2, 1.0), (0.285, 2, 0.28), (2.5, 0, 3.0), (-2.5, 0, -3.0), (0.125, 2, 0.13), (None, 1, None)])
+@pytest.mark.parametrize("x, digits, want", [(1.005, 2, 1.0), (0.285, 2, 0.28), (2.5, 0, 3.0), (-2.5, 0, -3.0), (0.125, 2, 0.13), (0.49999999999999994, 0, 0.0), (1e300, 2, 1e300), (None, 1, None)])
 def test_rounding(spark, x, digits, want):
     df = spark.createDataFrame([(x,)], "x double").select(numeric.round_to(F.col("x"), digits))
     assert values(df) == [(want,)]
