@@ -8,6 +8,7 @@ replaces its own output and nothing else.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -100,12 +101,15 @@ class Refresh:
 
     def take_in(self, batch: DataFrame, batch_id: int) -> None:
         raw = self._save(normalize_missing(batch), "bronze", batch_id)
-        fresh = self._save(self.new_rows(raw, batch_id).sortWithinPartitions(KEY), "distinct", batch_id)
-        silver = self._save(self.feed.typed(fresh.drop(KEY)), "silver", batch_id)
-        self._save(self._gold(silver, batch_id), "gold", batch_id)
-        self._save(self.feed.partials(self.feed.featured(silver)), "partials", batch_id)
-        merged = self.feed.chunks(self._upto("partials", batch_id))
-        self._save(merged, "chunks", batch_id)
+        fresh = self.new_rows(raw, batch_id).drop(KEY)
+        silver = self._save(self.feed.typed(fresh), "silver", batch_id)
+        # Gold and partials both start from stored silver, so they run side by side.
+        with ThreadPoolExecutor(2) as pool:
+            gold = pool.submit(lambda: self._save(self._gold(silver, batch_id), "gold", batch_id))
+            summed = self.feed.partials(self.feed.featured(silver))
+            parts = pool.submit(lambda: self._save(summed, "partials", batch_id))
+            gold.result(), parts.result()
+        self._save(self.feed.chunks(self._upto("partials", batch_id)), "chunks", batch_id)
 
     def _gold(self, silver: DataFrame, batch_id: int) -> DataFrame:
         if not self.feed.encoded:
@@ -128,13 +132,14 @@ class Refresh:
     def new_rows(self, raw: DataFrame, batch_id: int) -> DataFrame:
         """Distinct usable rows of the batch that no earlier batch held.
 
-        The stored table holds one copy of each row, so no key is hot on that
-        side. The first look reads its key column only. A repeated key is then
-        confirmed on the full row, by value when few keys repeat.
+        The stored table holds a row at most once per batch, so no key is hot on
+        that side. The first look reads its key column only. A repeated key is
+        then confirmed on the full row, by value when few keys repeat.
         """
         seen = self._upto("distinct", batch_id - 1)
-        mine = self._save(self._keyed(cleaning.dedup(self.feed.usable(raw))), "arrived", batch_id)
-        repeated = seen.select(KEY).join(mine.select(KEY), KEY, "left_semi")
+        distinct = self._keyed(cleaning.dedup(self.feed.usable(raw))).sortWithinPartitions(KEY)
+        mine = self._save(distinct, "distinct", batch_id)
+        repeated = seen.select(KEY).join(mine.select(KEY), KEY, "left_semi").distinct()
         keys = [r[0] for r in repeated.limit(LOOKUP_KEYS + 1).collect()]
         if not keys:
             return mine
