@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from perilake.llm import exact_dedup
+from perilake.llm import exact_dedup, line_dedup
 from perilake.llm.shared import table
 
 SQL: dict[str, str] = {}
 
 
+def op2_line_windows(spark, sf_dir):
+    """Every document without passages of three lines that occurred before."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated_lines(docs)
+
+
+SQL["op2_line_windows"] = """
+WITH line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                     generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+filled AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS t FROM line WHERE t <> ''),
+win AS (SELECT doc_id, i, lead(i, 1) OVER w AS i2, lead(i, 2) OVER w AS i3,
+               t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS body
+        FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+later AS (SELECT * FROM win WHERE body IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, i FROM later UNION SELECT doc_id, i2 FROM later UNION SELECT doc_id, i3 FROM later),
+made AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone.i IS NULL) AS text,
+                count(gone.i) AS n_removed
+         FROM line LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN documents.text IS NOT NULL THEN coalesce(made.text, '') END AS text,
+       coalesce(n_removed, 0) AS n_removed
+FROM documents LEFT JOIN made USING (doc_id)"""
+
+
 def op7_exact_dedup(spark, sf_dir):
     """Group of equal texts of every document, by composable fingerprints."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -22,5 +46,6 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id,
 FROM t"""
 
 QUERIES = {
+    "op2_line_windows": op2_line_windows,
     "op7_exact_dedup": op7_exact_dedup,
 }
