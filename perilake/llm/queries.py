@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from perilake.llm import exact_dedup, line_dedup
+from perilake.llm import exact_dedup, line_dedup, near_dedup
 from perilake.llm.shared import table
 
 SQL: dict[str, str] = {}
@@ -32,6 +32,11 @@ SELECT doc_id, CASE WHEN documents.text IS NOT NULL THEN coalesce(made.text, '')
 FROM documents LEFT JOIN made USING (doc_id)"""
 
 
+def op3_near_dedup(spark, sf_dir):
+    """Near-duplicate group of every document on four-word shingles."""
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op7_exact_dedup(spark, sf_dir):
     """Group of equal texts of every document, by composable fingerprints."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -47,5 +52,6 @@ FROM t"""
 
 QUERIES = {
     "op2_line_windows": op2_line_windows,
+    "op3_near_dedup": op3_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
 }
