@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from perilake.llm import exact_dedup, line_dedup, near_dedup
+from perilake.llm import exact_dedup, leaks, line_dedup, near_dedup
 from perilake.llm.shared import table
 
 SQL: dict[str, str] = {}
 
 
+def op1_leaks(spark, sf_dir):
+    """All occurrences of benchmark items in the documents, up to a fifth of the words edited."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_line_windows(spark, sf_dir):
     """Every document without passages of three lines that occurred before."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +56,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id,
 FROM t"""
 
 QUERIES = {
+    "op1_leaks": op1_leaks,
     "op2_line_windows": op2_line_windows,
     "op3_near_dedup": op3_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
