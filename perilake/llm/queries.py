@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from perilake.llm import exact_dedup, leaks, line_dedup, near_dedup
+from pyspark.sql import functions as F
+
+from perilake.llm import exact_dedup, leaks, line_dedup, near_dedup, subwords
 from perilake.llm.shared import table
 
+#: Where the public vocabulary lies on the driver's machine.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SQL: dict[str, str] = {}
 
 
@@ -42,6 +46,15 @@ def op3_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op6_subwords(spark, sf_dir):
+    """Token ids of every document, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"))
+    ids = subwords.encode(docs, VOCABULARY, text_col="original")
+    return subwords.decode(ids, VOCABULARY).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        F.coalesce(F.col("text") == F.coalesce("original", F.lit("")), F.lit(False)).alias("round_trip"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     """Group of equal texts of every document, by composable fingerprints."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -59,5 +72,6 @@ QUERIES = {
     "op1_leaks": op1_leaks,
     "op2_line_windows": op2_line_windows,
     "op3_near_dedup": op3_near_dedup,
+    "op6_subwords": op6_subwords,
     "op7_exact_dedup": op7_exact_dedup,
 }
