@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perilake.llm import exact_dedup, leaks, line_dedup, near_dedup, subwords
+from perilake.llm import exact_dedup, leaks, line_dedup, near_dedup, quality, subwords
 from perilake.llm.shared import table
 
 #: Where the public vocabulary lies on the driver's machine.
@@ -68,10 +68,17 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id,
        doc_id = max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
 FROM t"""
 
+def op9_quality(spark, sf_dir):
+    """Quality of every document by positive-unlabelled learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_leaks": op1_leaks,
     "op2_line_windows": op2_line_windows,
     "op3_near_dedup": op3_near_dedup,
     "op6_subwords": op6_subwords,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_quality": op9_quality,
 }
