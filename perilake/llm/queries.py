@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perilake.llm import exact_dedup, leaks, line_dedup, near_dedup, quality, subwords
+from perilake.llm import exact_dedup, leaks, line_dedup, near_dedup, quality, subwords, toxicity
 from perilake.llm.shared import table
 
 #: Where the public vocabulary lies on the driver's machine.
@@ -74,6 +74,12 @@ def op9_quality(spark, sf_dir):
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_toxicity(spark, sf_dir):
+    """Toxicity of every document by compression distance."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), folds=4, held=2)
+
+
 QUERIES = {
     "op1_leaks": op1_leaks,
     "op2_line_windows": op2_line_windows,
@@ -81,4 +87,5 @@ QUERIES = {
     "op6_subwords": op6_subwords,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
