@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perilake.llm import exact_dedup, leaks, line_dedup, near_dedup, quality, subwords, toxicity
-from perilake.llm.shared import table
+from perilake.llm import exact_dedup, leaks, line_dedup, near_dedup, quality, subwords, toxicity, warc
+from perilake.llm.shared import fresh_path, table
 
 #: Where the public vocabulary lies on the driver's machine.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -68,6 +68,27 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id,
        doc_id = max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
 FROM t"""
 
+def op8_warc(spark, sf_dir):
+    """All pages through an archive, its deduplicated rewrite, and resolution of the revisits."""
+    crawl, slim = fresh_path(spark, "crawl"), fresh_path(spark, "slim")
+    warc.write(warc.captured(table(spark, sf_dir, "pages")), crawl)
+    warc.write(warc.deduplicated(warc.read(spark, crawl)), slim)
+    return warc.resolved(warc.read(spark, slim)).select(
+        F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("original_id").alias("refers_to"))
+
+
+SQL["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages)
+SELECT page_id, strlen(body) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           (('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INTEGER), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31
+           AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM p WINDOW same AS (PARTITION BY body)"""
+
+
 def op9_quality(spark, sf_dir):
     """Quality of every document by positive-unlabelled learning."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,6 +107,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op6_subwords": op6_subwords,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
