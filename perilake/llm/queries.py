@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perilake.llm import exact_dedup, leaks, line_dedup, near_dedup, quality, subwords, toxicity, warc
+from perilake.llm import chat, exact_dedup, leaks, line_dedup, near_dedup, quality, subwords, toxicity, warc
 from perilake.llm.shared import fresh_path, table
 
 #: Where the public vocabulary lies on the driver's machine.
@@ -46,6 +46,43 @@ def op3_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op4_chat_windows(spark, sf_dir):
+    """All conversations in budgeted windows, and what is read back from them."""
+    control = spark.sql("""SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text
+                           FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)""")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
+    return chat.digests(chat.formatted(turns))
+
+
+SQL["op4_chat_windows"] = r"""
+WITH raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+             SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
+num AS (SELECT *, (strlen(text) + 3) // 4 + 4 AS size,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM raw),
+sys AS (SELECT *, pos = 1 AND role = 'system' AS system FROM num),
+line AS (SELECT *, sum(CASE WHEN system THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY pos) AS stop,
+                greatest(256, (2048 - 256 - max(CASE WHEN system THEN size ELSE 0 END) OVER (PARTITION BY conv_id)) // 2)
+                AS stride,
+                12 + length(e(role)) + 1 + length(e(text)) + 11 AS chars FROM sys),
+placed AS (SELECT *, 2 * ((stop - size) // stride) + CASE WHEN size > stride THEN 1 ELSE 0 END AS w FROM line),
+win AS (SELECT conv_id, w, min(stop - size) AS at FROM placed WHERE NOT system GROUP BY ALL),
+all_chars AS (SELECT conv_id, chars FROM placed WHERE NOT system UNION ALL
+              SELECT p.conv_id, p.chars FROM placed p JOIN win ON p.conv_id = win.conv_id
+              AND NOT p.system AND p.stop <= win.at AND p.stop > win.at - 256 UNION ALL
+              SELECT p.conv_id, p.chars FROM placed p LEFT JOIN win ON p.conv_id = win.conv_id WHERE p.system),
+total AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM all_chars GROUP BY ALL)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       coalesce(CAST(sum(length(text)) FILTER (WHERE role = 'assistant') AS BIGINT), 0) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       any_value(formatted_chars) AS formatted_chars
+FROM sys JOIN total USING (conv_id) GROUP BY conv_id"""
+for _name in ("role", "text"):
+    _escaped = f"replace({_name}, '\\', '\\\\')"
+    for _plain, _broken in chat.CONTROLS:
+        _escaped = f"replace({_escaped}, '{_plain}', '{_broken}')"
+    SQL["op4_chat_windows"] = SQL["op4_chat_windows"].replace(f"e({_name})", _escaped)
+
+
 def op6_subwords(spark, sf_dir):
     """Token ids of every document, and whether they decode to its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"))
@@ -105,6 +142,7 @@ QUERIES = {
     "op1_leaks": op1_leaks,
     "op2_line_windows": op2_line_windows,
     "op3_near_dedup": op3_near_dedup,
+    "op4_chat_windows": op4_chat_windows,
     "op6_subwords": op6_subwords,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
