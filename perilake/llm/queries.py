@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perilake.llm import chat, exact_dedup, leaks, line_dedup, near_dedup, quality, subwords, toxicity, warc
+from perilake.llm import chat, exact_dedup, leaks, line_dedup, near_dedup, pii, quality, subwords, toxicity, warc
 from perilake.llm.shared import fresh_path, table
 
 #: Where the public vocabulary lies on the driver's machine.
@@ -83,6 +83,11 @@ for _name in ("role", "text"):
     SQL["op4_chat_windows"] = SQL["op4_chat_windows"].replace(f"e({_name})", _escaped)
 
 
+def op5_pii(spark, sf_dir):
+    """Personal data and disclosing terms in every document."""
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_subwords(spark, sf_dir):
     """Token ids of every document, and whether they decode to its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"))
@@ -143,6 +148,7 @@ QUERIES = {
     "op2_line_windows": op2_line_windows,
     "op3_near_dedup": op3_near_dedup,
     "op4_chat_windows": op4_chat_windows,
+    "op5_pii": op5_pii,
     "op6_subwords": op6_subwords,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
