@@ -29,7 +29,7 @@ from perilake.llm.batches import pieces
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Seams and words that a task remembers; forgetting them changes no result.
-SEAMS, WORDS = 1 << 20, 400_000
+SEAMS, WORDS = 1 << 18, 120_000
 
 
 class Subwords:
@@ -154,11 +154,11 @@ class Subwords:
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
-def _encode(shared):
+def _encode(shared, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, kept = shared.value, {}
         for whole in batches:
-            for batch in pieces(whole, "body", 16 << 20):
+            for batch in pieces(whole, "body"):
                 words, counts = [], []
                 for text in batch.column("body").to_pylist():
                     found = model.marked(text or "")
@@ -172,17 +172,20 @@ def _encode(shared):
                 kept.update(zip(new, map(model.numbers, model.paths(new))))
                 ids = pa.array([kept[w] for w in distinct], pa.list_(pa.int32())).take(coded.indices)
                 ends = np.concatenate(([0], np.asarray(ids.offsets)))[np.cumsum([1, *counts])]
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.flatten())
+                same = [model.text(x.as_py()) == (t or "") for x, t in zip(ids, batch.column("body").to_pylist())] \
+                    if not keep_text else [None] * len(batch)
                 yield pa.RecordBatch.from_pydict({
-                    "others": batch.column("others"), "body": batch.column("body"),
-                    "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.flatten())})
+                    "others": batch.column("others"), "ids": ids, "same": pa.array(same, pa.bool_()),
+                    "body": batch.column("body") if keep_text else pa.nulls(len(batch), pa.string())})
     return run
 
 
 def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
                 texts = [None if x is None else shared.value.text(x) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_pydict({
                     "others": part.column("others"), "text": pa.array(texts, pa.string())})
@@ -195,6 +198,15 @@ def _load(spark, model_path: str):
         return spark.sparkContext.broadcast(Subwords(f.read()))
 
 
+def _encoded(docs: DataFrame, model_path: str, text_col: str, ids_col: str, keep_text: bool) -> DataFrame:
+    others = [c for c in docs.columns if c not in (text_col, ids_col)]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_")).alias("others"),
+                       F.col(f"`{text_col}`").alias("body"))
+    kind = rows.schema["others"].dataType.simpleString()
+    return rows.mapInArrow(_encode(_load(docs.sparkSession, model_path), keep_text),
+                           f"others {kind}, ids array<int>, same boolean, body string")
+
+
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """All rows and columns of ``docs`` and the token ids of the text as the last column.
 
@@ -202,15 +214,19 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     ids. A text's own mark characters are taken for blanks, as in SentencePiece. An
     empty table gives an empty result.
     """
-    others = [c for c in docs.columns if c not in (text_col, ids_col)]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_")).alias("others"),
-                       F.col(f"`{text_col}`").alias("body"))
-    kind = rows.schema["others"].dataType.simpleString()
-    out = rows.mapInArrow(_encode(_load(docs.sparkSession, model_path)), f"others {kind}, body string, ids array<int>")
+    out = _encoded(docs, model_path, text_col, ids_col, True)
     return out.select(*[F.col("body").alias(c) if c == text_col else F.col(f"others.`{c}`").alias(c)
                         for c in docs.columns if c != ids_col], F.col("ids").alias(ids_col))
 
 
+def encode_checked(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids",
+                   check_col: str = "round_trip") -> DataFrame:
+    """Like ``encode``, without the text; says instead whether the ids decode to it (null: empty)."""
+    out = _encoded(docs, model_path, text_col, ids_col, False)
+    return out.select(*[F.col(f"others.`{c}`").alias(c) for c in docs.columns if c not in (text_col, ids_col, check_col)],
+                      F.col("ids").alias(ids_col), F.col("same").alias(check_col))
+
+
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``rows`` and the text of the ids as the last column.
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from perilake.llm.subwords import Subwords, decode, encode
+from perilake.llm.subwords import Subwords, decode, encode, encode_checked
 
 spm = pytest.importorskip("sentencepiece")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -58,6 +58,10 @@ def test_rows_nulls_and_empty_table(spark):
         assert r.ids == library.encode(r.text or "") and (r.others, r.body) == ("o", 3)
     back = decode(rows.withColumnRenamed("text", "was"), MODEL).collect()
     assert all(r.text == (r.was or "").replace("▁", " ") for r in back)
+    checked = encode_checked(df, MODEL)
+    assert checked.columns == ["doc_id", "others", "body", "ids", "round_trip"]
+    assert {r.doc_id: (r.ids, r.round_trip) for r in checked.collect()} == {
+        i: (library.encode(t or ""), "▁" not in (t or "")) for i, t in enumerate(TEXTS)}
     assert encode(df.limit(0), MODEL).count() == 0
     only_text = encode(df.select("text"), MODEL)
     assert only_text.columns == ["text", "ids"] and only_text.count() == len(TEXTS)
