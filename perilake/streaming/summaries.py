@@ -8,7 +8,7 @@ from perilake.functions import risk
 from perilake.functions.numeric import round_to
 from perilake.functions.ordering import top
 from perilake.operators.chunks import all_chunks
-from perilake.operators.partials import mean, merge, partials
+from perilake.operators.partials import mean, merge, partials, total
 
 MOTOR_KEYS = ("TYPE_VEHICLE", "USAGE", "MAKE")
 CLAIMS_KEYS = ("AGE", "DRIVING_EXPERIENCE", "risk_tier")
@@ -35,7 +35,7 @@ def _rate(name: str, digits: int) -> Column:
 def motor_kpis(parts: DataFrame) -> DataFrame:
     claims = F.col("sum_had_claim").cast("bigint")
     # Rows without a claim paid nothing, so the sum over claims is the whole sum.
-    paid = F.try_divide(F.col("sum_CLAIM_PAID").cast("double"), F.nullif(claims, F.lit(0)).cast("double"))
+    paid = F.try_divide(total("CLAIM_PAID"), F.nullif(claims, F.lit(0)).cast("double"))
     return merge(parts, []).select(
         F.coalesce("n", F.lit(0)).alias("total_policies"),
         F.coalesce(claims, F.lit(0)).alias("total_claims"),
@@ -85,6 +85,7 @@ def driver_profile(parts: DataFrame) -> DataFrame:
 
 def tier_profile(parts: DataFrame) -> DataFrame:
     return merge(parts, ["risk_tier"]).select(
+        "risk_tier",
         risk.tier_name(F.col("risk_tier")).alias("risk_level"),
         F.col("n").alias("total_drivers"),
         _rate("OUTCOME", 1).alias("claim_rate_pct"),

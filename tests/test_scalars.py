@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from perilake.functions import numeric, risk, text
 from perilake.functions.ordering import top, up
+from perilake.plans import reports
+from perilake.streaming import summaries
 
 
 @pytest.mark.parametrize("x, digits, want", [(1.005, 2, 1.0), (0.285, 2, 0.28), (2.5, 0, 3.0), (-2.5, 0, -3.0), (0.125, 2, 0.13), (0.49999999999999994, 0, 0.0), (1e300, 2, 1e300), (None, 1, None)])
@@ -93,3 +95,21 @@ def test_top_breaks_ties_and_puts_nulls_last(spark):
     df = spark.createDataFrame([("b", 2), ("a", 2), (None, 2), ("c", None), ("d", 1)], "k string, n int")
     assert values(top(df, "n", ["k"], 4)) == [("a", 2), ("b", 2), (None, 2), ("d", 1)]
     assert [r[0] for r in values(df.orderBy(up("k")))] == ["a", "b", "c", "d", None]
+
+
+@pytest.mark.parametrize("odd", ["inf", "-inf", "1e15", "1e300", "1e23"])
+def test_no_value_stops_a_sum(spark, odd):
+    numbers = [0.1, 0.2, -7.25, float(odd), 3.0]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    want = {values(df.repartition(n).agg(numeric.exact_sum(F.col("x"))))[0] for n in (1, 2, 5)}
+    assert want == {(float(odd) + (-3.95 if odd == "1e15" else 0.0),)}
+
+
+def test_reports_and_partials_take_any_value(spark, lake):
+    gold = lake.gold("motor")
+    first = gold.limit(1)
+    for odd in (float("inf"), 1e15, 1e300):
+        dirty = gold.unionByName(first.withColumn("PREMIUM", F.lit(odd)).withColumn("INSURED_VALUE", F.lit(odd)))
+        parts = summaries.motor_partials(dirty)
+        assert values(reports.motor_kpis(dirty)) == values(summaries.motor_kpis(parts))
+        assert values(summaries.motor_kpis(parts), "avg_premium")[0][0] > 1e9
