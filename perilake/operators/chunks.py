@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from perilake.functions.text import render, show
+from perilake.functions.text import render
 
 # The sentence of each chunk source and the format of each figure.
 TEMPLATES = {
@@ -33,15 +32,19 @@ KEYS = {
     "motor": ("TYPE_VEHICLE", "USAGE"),
     "motor_make": ("MAKE", "TYPE_VEHICLE"),
     "claims_age": ("AGE", "DRIVING_EXPERIENCE"),
-    "claims_risk": ("risk_level",),
+    "claims_risk": ("risk_tier",),
 }
 
 
+def escaped(key: str) -> Column:
+    """A group key in an id: the sign between keys is escaped, and a missing key is no word."""
+    text = F.replace(F.replace(F.col(key).cast("string"), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+    return F.coalesce(text, F.lit("%"))
+
+
 def chunk(profile: DataFrame, source: str) -> DataFrame:
-    """Rows (chunk_id, source, text); the id is the source and its group keys."""
-    parts: Sequence = [F.lit(source)]
-    for key in KEYS[source]:
-        parts = [*parts, show(key)]
+    """Rows (chunk_id, source, text); the id is the source and its group keys, each group its own."""
+    parts = [F.lit(source), *[escaped(key) for key in KEYS[source]]]
     return profile.select(
         F.concat_ws("/", *parts).alias("chunk_id"),
         F.lit(source).alias("source"),

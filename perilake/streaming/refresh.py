@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from perilake.functions.parsing import normalize_missing
 from perilake.operators import cleaning, encoding, features
+from perilake.sources.files import EXACT
 from perilake.sources.schemas import CATEGORIES, CLAIMS, MOTOR
 from perilake.streaming import summaries
 
@@ -74,7 +75,7 @@ class Refresh:
     ) -> StreamingQuery:
         """Run on arriving CSV files; ``every=None`` takes what is there and stops."""
         self._prepare()
-        reader = self.spark.readStream.schema(self.feed.schema).option("header", True).option("escape", '"')
+        reader = self.spark.readStream.schema(self.feed.schema).options(**EXACT)
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
         writer = (
@@ -89,6 +90,9 @@ class Refresh:
         """An empty first folder, so that the earliest batch has rows to read."""
         empty = self.spark.createDataFrame([], self.feed.schema)
         self._save(self._keyed(empty), "distinct", -1)
+        if self.feed.encoded:
+            codes = self.spark.createDataFrame([], "column_name string, value string, code int")
+            self._save(codes, "encoder", -1)
 
     def _save(self, df: DataFrame, table: str, batch_id: int) -> DataFrame:
         """Write one batch folder and go on from the stored rows."""
@@ -114,11 +118,21 @@ class Refresh:
     def _gold(self, silver: DataFrame, batch_id: int) -> DataFrame:
         if not self.feed.encoded:
             return self.feed.featured(silver)
-        path = f"{self.root}/encoder"
-        if batch_id == 0:
-            encoding.fit_encoder(silver, CATEGORIES).write.mode("overwrite").parquet(path)
-        # Codes are fixed by the first batch; later values not in it share one code.
-        return features.gold_claims(silver, self.spark.read.parquet(path))
+        return features.gold_claims(silver, self._codes(silver, batch_id))
+
+    def _codes(self, silver: DataFrame, batch_id: int) -> DataFrame:
+        """Codes of all categories so far: those of earlier batches never change, new values follow them.
+
+        Each batch writes its own values only, so a replay gives the same codes.
+        """
+        earlier = self._upto("encoder", batch_id - 1)
+        sizes = earlier.groupBy("column_name").agg(F.count(F.lit(1)).alias("known"))
+        new = encoding.fit_encoder(silver, CATEGORIES).select("column_name", "value") \
+            .join(earlier, ["column_name", "value"], "left_anti")
+        ranked = encoding.rank_in_window(new).join(sizes, "column_name", "left")
+        code = (F.col("code") + F.coalesce("known", F.lit(0))).cast("int")
+        added = self._save(ranked.select("column_name", "value", code.alias("code")), "encoder", batch_id)
+        return earlier.unionByName(added)
 
     def _upto(self, table: str, batch_id: int) -> DataFrame:
         stored = self.spark.read.parquet(self.path(table))

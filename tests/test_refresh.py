@@ -1,8 +1,10 @@
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from perilake.operators import cleaning, features
 from perilake.sources import files
+from perilake.sources.schemas import CATEGORIES
 from perilake.streaming import refresh, summaries
 
 
@@ -73,3 +75,19 @@ def test_empty_batch(spark, tmp_path):
     job._prepare()
     job.take_in(spark.createDataFrame([], refresh.MOTOR_FEED.schema), 0)
     assert values(summaries.motor_kpis(job.read("partials"))) == [(0, 0, None, None, None)]
+
+
+def test_an_empty_first_batch_leaves_all_codes(spark, lake, tmp_path):
+    job, raw = refresh.Refresh(spark, refresh.CLAIMS_FEED, str(tmp_path)), lake.bronze("claims")
+    job._prepare()
+    job.take_in(raw.limit(0), 0)
+    job.take_in(raw.where("VEHICLE_TYPE = 'sedan'"), 1)
+    job.take_in(raw, 2)
+    silver, gold = job.read("silver"), job.read("gold")
+    for name in CATEGORIES:
+        pairs = silver.select("ID", F.col(name).alias("value")).join(gold.select("ID", F.col(name).alias("code")), "ID")
+        found = values(pairs.where("value IS NOT NULL").select("value", "code").distinct())
+        assert len(found) == len({v for v, _ in found}) == len({c for _, c in found})
+    before = sorted(values(job.read("encoder")))
+    job.take_in(raw, 2)
+    assert sorted(values(job.read("encoder"))) == before
