@@ -41,7 +41,8 @@ def _chunk_sql(source: str) -> str:
     text = " || ".join(
         _shown(p, chunking.FORMATS.get(p, "%s")) if i % 2 else f"'{p}'" for i, p in enumerate(pieces) if p
     )
-    key = " || '/' || ".join([f"'{source}'", *[f"coalesce({k}, 'unknown')" for k in chunking.KEYS[source]]])
+    escaped = "coalesce(replace(replace(CAST({} AS VARCHAR), '%', '%25'), '/', '%2F'), '%')"
+    key = " || '/' || ".join([f"'{source}'", *[escaped.format(k) for k in chunking.KEYS[source]]])
     return f"SELECT {key} AS chunk_id, '{source}' AS source, {text} AS text FROM ({_PROFILE_SQL[source]})"
 
 

@@ -20,6 +20,9 @@ from perilake.sources.tables import Warehouse
 class Lake:
     """Tables of one load, each written once and read from storage after that.
 
+    A table or model that an earlier session completed under the same root is
+    opened as it is; take another root to load anew.
+
     Downstream plans start at the stored table: they read only the columns they
     need, do not repeat the full-row deduplication, and do not depend on the
     executors that wrote it.
@@ -34,7 +37,7 @@ class Lake:
 
     def stored(self, layer: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         with self._lock:
-            if f"{layer}_{name}" not in self.store.written:
+            if f"{layer}_{name}" not in self.store.written and not self.store.exists(layer, name):
                 self.store.write(build(), layer, name)
         return self.store.read(layer, name)
 
@@ -57,9 +60,9 @@ class Lake:
         """A model trained once per lake and loaded from its saved form."""
         path = self.store.path("models", name)
         with self._lock:
-            if name not in self._models:
+            if name not in self._models and not self.store.exists("models", name, "metadata/_SUCCESS"):
                 models.save_model(train(), path)
-                self._models.add(name)
+            self._models.add(name)
         return models.load_model(path)
 
     def load_all(self) -> None:

@@ -277,16 +277,22 @@ def tier_profile(gold: DataFrame) -> DataFrame:
             claim_rate(1).alias("claim_rate_pct"),
             round_to(exact_avg(F.col("risk_score")), 2).alias("avg_risk_score"),
         )
-        .select(risk.tier_name(F.col("risk_tier")).alias("risk_level"), "total_drivers", "claim_rate_pct", "avg_risk_score")
+        .select(
+            "risk_tier", risk.tier_name(F.col("risk_tier")).alias("risk_level"), "total_drivers", "claim_rate_pct",
+            "avg_risk_score",
+        )
     )
 
 
-TIER_PROFILE_SQL = f"""SELECT CASE risk_tier WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'High' END AS risk_level,
+TIER_PROFILE_SQL = f"""SELECT risk_tier, CASE risk_tier WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'High' END AS risk_level,
   count(*) AS total_drivers, {_RATE.format(1)} AS claim_rate_pct,
   round({money_avg("risk_score")}, 2) AS avg_risk_score
   FROM gold_claims GROUP BY risk_tier"""
 
 
-@plan("g14_tier_profile", over_claims(TIER_PROFILE_SQL))
+@plan(
+    "g14_tier_profile",
+    over_claims(f"SELECT risk_level, total_drivers, claim_rate_pct, avg_risk_score FROM ({TIER_PROFILE_SQL})"),
+)
 def g14(lake):
-    return tier_profile(lake.gold("claims"))
+    return tier_profile(lake.gold("claims")).drop("risk_tier")

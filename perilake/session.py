@@ -29,7 +29,7 @@ def shared_root(spark: SparkSession) -> str:
 
     The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
     local session gets a fresh temporary folder and any other session uses its
-    warehouse folder, which Spark already requires to be shared.
+    warehouse folder, if that does not lie on one machine.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +39,8 @@ def shared_root(spark: SparkSession) -> str:
             sc._perilake_root = base
         else:
             base = spark.conf.get("spark.sql.warehouse.dir")
+            if base.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(f"{base}/checkpoints")
     return base.rstrip("/")

@@ -22,6 +22,12 @@ class Warehouse:
         """A path of its own per call, so that no plan replaces files another one reads."""
         return f"{self.path(layer, name)}-{uuid.uuid4().hex}"
 
+    def exists(self, layer: str, name: str, mark: str = "_SUCCESS") -> bool:
+        """Whether a whole table is stored; Spark leaves its mark after the last file."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path(layer, name)}/{mark}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def read(self, layer: str, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(layer, name))
 

@@ -1,6 +1,8 @@
 from conftest import values
 from pyspark.sql import types as T
 
+from perilake.plans import reports
+from perilake.plans.medallion import Lake
 from perilake.sources import files, tables
 from perilake.sources.schemas import CLAIMS
 
@@ -46,3 +48,27 @@ def test_metrics_file(spark, tmp_path):
 def test_spread_only_touches_small_scans(spark):
     assert tables.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert tables.spread(spark.range(0, 100, 1, 40)).rdd.getNumPartitions() == 40
+
+
+def test_csv_keeps_blanks_quotes_and_line_breaks(spark, tmp_path):
+    rows = [("  a ", "x"), ("b", 'line1\nline2, "quoted"'), ("c ", " ")]
+    df = spark.createDataFrame(rows, "k string, v string")
+    files.write_csv(df, str(tmp_path / "c"))
+    again = files.read_csv(spark, str(tmp_path / "c"), df.schema, line_breaks=True)
+    assert sorted(values(again)) == sorted(rows)
+
+
+def test_misfits_are_counted(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("k,v\na,1\nb,2.0\nc,\nd,x\n")
+    schema = T.StructType().add("k", "string").add("v", "long")
+    assert values(files.misfits(spark, str(tmp_path / "x.csv"), schema)) == [(4, 2)]
+
+
+def test_a_stored_lake_is_opened_without_a_write(spark, lake, tmp_path):
+    def missing():
+        raise AssertionError("the raw input was read again")
+
+    first = Lake(spark, str(tmp_path), claims=missing, motor=lambda: lake.bronze("motor"))
+    want = values(reports.motor_kpis(first.gold("motor")))
+    again = Lake(spark, str(tmp_path), claims=missing, motor=missing)
+    assert values(reports.motor_kpis(again.gold("motor"))) == want and not again.store.written
