@@ -29,7 +29,7 @@ from perilake.llm.batches import pieces
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Seams and words that a task remembers; forgetting them changes no result.
-SEAMS, WORDS = 1 << 18, 120_000
+SEAMS, WORDS = 1 << 18, 200_000
 
 
 class Subwords:
@@ -173,8 +173,11 @@ def _encode(shared, keep_text: bool):
                 ids = pa.array([kept[w] for w in distinct], pa.list_(pa.int32())).take(coded.indices)
                 ends = np.concatenate(([0], np.asarray(ids.offsets)))[np.cumsum([1, *counts])]
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.flatten())
-                same = [model.text(x.as_py()) == (t or "") for x, t in zip(ids, batch.column("body").to_pylist())] \
-                    if not keep_text else [None] * len(batch)
+                same = [None] * len(batch)
+                if not keep_text:
+                    flat = np.asarray(ids.flatten())
+                    same = [model.text(flat[a:b].tolist()) == (t or "")
+                            for a, b, t in zip(ends, ends[1:], batch.column("body").to_pylist())]
                 yield pa.RecordBatch.from_pydict({
                     "others": batch.column("others"), "ids": ids, "same": pa.array(same, pa.bool_()),
                     "body": batch.column("body") if keep_text else pa.nulls(len(batch), pa.string())})
