@@ -155,7 +155,10 @@ def dictionaries(labelled: DataFrame) -> Distance:
     telling = found.filter((F.col("n1") >= MIN_DOCS) & (F.col("company") >= COMPANY * F.col("n1"))
                            & (F.col("n1") * max(n0, 1) >= TELLING * max(n1, 1) * (F.col("n0") + 0.5)))
     words = [bytes(r.word) for r in telling.orderBy(F.desc("n1"), "word").limit(WORDS).collect()]
+    # Windows are thinned by hash first, so that no more than about twice the number reaches the driver.
+    n = labelled.filter(~one).agg(F.coalesce(F.sum(1 + F.octet_length("body") / WINDOW), F.lit(0.0)).alias("n")).first().n
     parts = [bytes(r.part) for r in labelled.filter(~one).mapInArrow(_cut, "part binary")
+             .filter(F.pmod(F.xxhash64("part", F.lit("thin")), F.lit(max(1, int(n) // WINDOWS))) == 0)
              .orderBy(F.xxhash64("part"), "part").limit(WINDOWS).collect()]
     try:
         ordinary = zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
