@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from decimal import Decimal
-from math import ceil
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from perilake.session import shared_root
 
-CLASS_LIMIT = 100
 # Digits by which one pass narrows the cut-off: at most 16^3 counts per class.
 STEP = 3
 AFTER_ALL_DIGITS = "g"
@@ -39,43 +38,41 @@ def train_and_test(df: DataFrame, key: str, share: float = 0.2, seed: int = 42)
     return df.where(~held), df.where(held)
 
 
-def class_cutoffs(df: DataFrame, label: str, key: str, share: float, seed: int) -> dict:
-    """Per class, a text that exactly ``ceil(share * rows)`` digests lie below.
+def class_cutoffs(df: DataFrame, label: str, key: str, share: float, seed: int) -> DataFrame:
+    """Per class (``_label``), a text ``_cutoff`` that exactly ``ceil(share * rows)`` digests lie below.
 
-    Each pass counts the rows per digest prefix inside the prefix found so far,
-    so only counts reach the driver. Rows with equal keys are never separated,
-    which can put a class over its number by the copies of one key.
+    Each pass counts the rows per digest prefix inside the prefix found so far, at
+    most 16^3 counts per class. Rows with equal keys are never separated, which can
+    put a class over its number by the copies of one key.
     """
-    rows = df.select(F.col(label).alias("_label"), _digest(F.col(key), seed).alias("_digest"))
-    sizes = rows.groupBy("_label").count().limit(CLASS_LIMIT + 1).collect()
-    if len(sizes) > CLASS_LIMIT:
-        raise ValueError(f"more than {CLASS_LIMIT} classes in {label}")
-    found, searched = {}, {r["_label"]: ("", ceil(Decimal(str(share)) * r["count"])) for r in sizes}
-    length = 0
-    while searched:
-        length = min(length + STEP, 32)
-        wanted = F.lit(False)
-        for value, (prefix, _) in searched.items():
-            wanted = wanted | (F.col("_label").eqNullSafe(F.lit(value)) & F.col("_digest").startswith(prefix))
-        counts = rows.where(wanted).groupBy("_label", F.substring("_digest", 1, length).alias("_prefix")).count()
-        left = {value: need for value, (_, need) in searched.items()}
-        for r in sorted(counts.collect(), key=lambda r: r["_prefix"]):
-            value = r["_label"]
-            if value not in left:
-                continue
-            if r["count"] < left[value]:
-                left[value] -= r["count"]
-            elif r["count"] == left[value] or length == 32:
-                found[value] = r["_prefix"] + AFTER_ALL_DIGITS
-                del left[value], searched[value]
-            else:
-                searched[value] = (r["_prefix"], left.pop(value))
-    return found
+    shared_root(df.sparkSession)
+    rows = df.select(F.col(label).alias("_label"), _digest(F.col(key), seed).alias("_digest")).where("_digest IS NOT NULL")
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("n"))
+    need = F.ceil(F.lit(Decimal(str(share))) * F.col("n")).cast("long")
+    state = sizes.select("_label", F.lit("").alias("_prefix"), need.alias("_need"), F.lit(False).alias("_found")).checkpoint()
+    for length in [*range(STEP, 32, STEP), 32]:
+        searched = state.where(~F.col("_found")).select(F.col("_label").alias("_l"), "_prefix", "_need")
+        same = rows["_label"].eqNullSafe(F.col("_l")) & F.col("_digest").startswith(F.col("_prefix"))
+        counts = rows.join(searched, same).groupBy("_label", "_need", F.substring("_digest", 1, length).alias("_prefix")) \
+            .agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("_label").orderBy("_prefix"))
+        found = (F.col("upto") == F.col("_need")) | F.lit(length == 32)
+        picked = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("_need")) & (F.col("upto") - F.col("n") < F.col("_need")))
+        picked = picked.select(
+            "_label", F.when(found, F.concat("_prefix", F.lit(AFTER_ALL_DIGITS))).otherwise(F.col("_prefix")).alias("_prefix"),
+            (F.col("_need") - F.col("upto") + F.col("n")).alias("_need"), found.alias("_found"))
+        state = state.where("_found").unionByName(picked).checkpoint()
+        if state.where(~F.col("_found")).isEmpty():
+            break
+    return state.select("_label", F.col("_prefix").alias("_cutoff"))
 
 
 def exact_split(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``is_test`` so that each class gives the same share to the row."""
-    below = F.lit(False)
-    for value, cutoff in class_cutoffs(df, label, key, share, seed).items():
-        below = below | (F.col(label).eqNullSafe(F.lit(value)) & (_digest(F.col(key), seed) < cutoff))
-    return df.withColumn("is_test", below.cast("int"))
+    """Add ``is_test`` so that each class gives the same share to the row.
+
+    Cut-offs are joined, one row per class, however many classes there are.
+    """
+    cutoffs = class_cutoffs(df, label, key, share, seed)
+    below = F.coalesce(_digest(F.col(key), seed) < F.col("_cutoff"), F.lit(False))
+    joined = df.join(cutoffs, F.col(label).eqNullSafe(F.col("_label")), "left")
+    return joined.withColumn("is_test", below.cast("int")).drop("_label", "_cutoff")

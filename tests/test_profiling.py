@@ -57,3 +57,9 @@ def test_exact_split_takes_the_exact_share(spark):
     sides = sampling.exact_split(copies, "y", "id").groupBy("id").agg(F.countDistinct("is_test").alias("n"))
     assert sides.where("n > 1").count() == 0
     assert sampling.exact_split(df.limit(0), "y", "id").count() == 0
+
+
+def test_exact_split_of_very_many_classes(spark):
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 150).alias("y"))
+    sizes = sampling.exact_split(df, "y", "id", 0.25).groupBy("y").agg(F.sum("is_test").alias("n"))
+    assert set(values(sizes, "n")) == {(5,)} and sizes.count() == 150
