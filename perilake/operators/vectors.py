@@ -148,12 +148,12 @@ def knn(
     """Exact k nearest corpus rows per question by squared L2 distance.
 
     Result rows are (question id, corpus id, rank, distance); equal distances
-    are ordered by corpus id. Questions are measured first: if their vectors fit
+    are ordered by corpus id. Rows without an id or a vector take no part. Questions are measured first: if their vectors fit
     in BROADCAST_BYTES they are broadcast and the corpus is read in place, else
     the search runs over a grid of blocks (knn_grid).
     """
     shared_root(questions.sparkSession)
-    known = questions.where(F.col(vector).isNotNull()).select(question_id, vector).checkpoint()
+    known = questions.where(F.col(vector).isNotNull() & F.col(question_id).isNotNull()).select(question_id, vector).checkpoint()
     size = known.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vector)).alias("dim")).first()
     if size["rows"] * (size["dim"] or 0) * 8 > BROADCAST_BYTES:
         return knn_grid(known, corpus, k, question_id, corpus_id, vector)
@@ -171,7 +171,7 @@ def knn(
         blocks = ((_ids(b.column(0)), _matrix(b.column(1))) for b in batches if b.num_rows)
         yield from _hits(_search(matrix, blocks, k), names, fields).to_batches()
 
-    rows = corpus.where(F.col(vector).isNotNull()).select(corpus_id, vector)
+    rows = corpus.where(F.col(vector).isNotNull() & F.col(corpus_id).isNotNull()).select(corpus_id, vector)
     return _ranked(rows.mapInArrow(scan, schema), question_id, corpus_id, k)
 
 
@@ -191,8 +191,8 @@ def knn_grid(
     one small task that returns at most k rows per question. All questions meet
     all corpus rows, so the result is exact.
     """
-    asked = questions.where(F.col(vector).isNotNull()).select(question_id, vector)
-    known = corpus.where(F.col(vector).isNotNull()).select(corpus_id, vector)
+    asked = questions.where(F.col(vector).isNotNull() & F.col(question_id).isNotNull()).select(question_id, vector)
+    known = corpus.where(F.col(vector).isNotNull() & F.col(corpus_id).isNotNull()).select(corpus_id, vector)
     q_blocks = max(1, ceil(asked.count() / question_block))
     c_blocks = max(1, ceil(known.count() / corpus_block))
     schema, fields = _hit_schema(questions, corpus, question_id, corpus_id)

@@ -73,3 +73,10 @@ def test_context_and_prompt(spark):
     asked = spark.createDataFrame([(9, "why?")], "question_id int, question string")
     prompt = retrieval.build_prompt(context, asked).first()["prompt"]
     assert prompt.endswith("[Source: motor]\none\n\nQuestion: why?\n\nAnswer:")
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (None, [1.0, 1.0])], "question_id long, embedding array<double>")
+    c = spark.createDataFrame([("a", [0.0, 1.0]), (None, [0.0, 0.0])], "chunk_id string, embedding array<double>")
+    for search in (vectors.knn, vectors.knn_grid):
+        assert values(search(q, c, 2), "question_id", "chunk_id", "rank") == [(1, "a", 1)]
