@@ -74,6 +74,18 @@ def test_any_23_differing_symbols_leave_a_common_key():
         assert (x == y).any()
 
 
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(3)
+    for n in (3, 40, 147, 900, 6000):
+        for _ in range(40):
+            d = int(rng.integers(0, max(1, n // 10) + 1))
+            pool = rng.integers(0, 1 << 64, n + d, dtype=np.uint64)
+            a, b = np.unique(pool[:n]), np.unique(pool[d:])
+            if near_dedup.linked(a, b, 80):
+                x, y = near_dedup.unpacked([near_dedup.signature(a), near_dedup.signature(b)])[1]
+                assert np.bitwise_count(x ^ y).sum() <= near_dedup.parity_limit(np.array([len(a) + len(b)]), 80)[0]
+
+
 def test_shared_ids_nulls_and_empty_table(spark):
     long = " ".join(f"v{i}" for i in range(60))
     rows = [(5, "p q r s t u"), (5, long), (3, long), (2, "P q r s t u"), (None, "alone here"), (9, None)]
