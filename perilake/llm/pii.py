@@ -135,10 +135,6 @@ def _beside(text: Column, spans: Column, reach: int) -> Column:
     return F.flatten(F.transform(spans, around))
 
 
-#: Bytes of candidate terms up to which they are sent to all tasks.
-BROADCAST_BYTES = 32 << 20
-
-
 def disclosing(found: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS, alpha: float = ALPHA) -> DataFrame:
     """Pairs (value, term) above the threshold, with their share of the value's information.
 
@@ -149,10 +145,8 @@ def disclosing(found: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS, alp
         "beside", lambda b: F.struct(b["value"].alias("value"), b["term"].alias("term")))))) \
         .groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_docs)
     pairs = cut(pairs)
-    terms = pairs.select("term").distinct()
-    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0)).alias("n")).first().n
-    seen = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = seen.join(F.broadcast(terms) if size <= BROADCAST_BYTES else terms, "term", "left_semi") \
+    # Counted before the join: a row per term and task, whatever terms are asked for.
+    n_term = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(TERM), F.lit(0)))).alias("term")) \
         .groupBy("term").agg(F.count("*").alias("n_term"))
     n_value = found.select(F.explode(F.array_distinct(F.transform(
         "spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("value")) \
