@@ -110,8 +110,8 @@ FROM t"""
 def op8_warc(spark, sf_dir):
     """All pages through an archive, its deduplicated rewrite, and resolution of the revisits."""
     crawl, slim = fresh_path(spark, "crawl"), fresh_path(spark, "slim")
-    warc.write(warc.captured(table(spark, sf_dir, "pages")), crawl)
-    warc.write(warc.deduplicated(warc.read(spark, crawl)), slim)
+    per_file = warc.write(warc.captured(table(spark, sf_dir, "pages")), crawl)
+    warc.write(warc.deduplicated(warc.read(spark, crawl)), slim, per_file)
     return warc.resolved(warc.read(spark, slim)).select(
         F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("original_id").alias("refers_to"))

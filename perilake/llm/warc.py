@@ -12,6 +12,7 @@ the originals, which Spark splits where a digest is hot.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -61,8 +62,12 @@ def captured(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pa
         F.octet_length("payload").cast("long").alias("payload_bytes"))
 
 
-def write(records: DataFrame, path: str) -> None:
-    """Write records; the block of a response is an HTTP message, that of a revisit its headers only."""
+def write(records: DataFrame, path: str, per_file: int | None = None) -> int:
+    """Write records in gzipped files, without a shuffle; returns how many records a file holds at most.
+
+    The block of a response is an HTTP message, that of a revisit its headers only.
+    Without ``per_file``, the mean size of the records makes files of ``FILE_BYTES``.
+    """
     def header(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
 
@@ -78,8 +83,11 @@ def write(records: DataFrame, path: str) -> None:
         header("WARC-Refers-To", F.col("refers_to")), header("WARC-Profile", F.when(revisit, PROFILE)),
         header("X-Source-Id", F.col("source_id")), F.lit("Content-Type: application/http; msgtype=response\r\n"),
         header("Content-Length", F.octet_length("block")), F.lit("\r\n"), F.col("block"), F.lit("\r\n\r"))
-    total = records.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("n")).first().n
-    made.select(record.alias("value")).repartition(max(1, -(-total // FILE_BYTES))).write.text(path)
+    if per_file is None:
+        mean = records.agg(F.coalesce(F.avg("payload_bytes"), F.lit(0.0)).alias("n")).first().n
+        per_file = max(1, int(FILE_BYTES // (mean + 600)))
+    made.select(record.alias("value")).write.option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    return per_file
 
 
 def parsed(data: bytes) -> Iterator[tuple]:
@@ -107,7 +115,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
         for content in part.column("content"):
             rows, size = [], 0
-            for row in parsed(content.as_py()):
+            for row in parsed(gzip.decompress(content.as_py())):
                 rows.append(row)
                 size += len(row[7] or "") + 500
                 if size > 4 << 20:
