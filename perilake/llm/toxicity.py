@@ -2,9 +2,10 @@
 
 The ordinary dictionary is trained by zstandard on windows of ordinary texts. The toxic
 one holds the same content and, before it, what toxic texts have and ordinary ones
-lack: words and beginnings of words in at least ``MIN_DOCS`` toxic training documents,
-``TELLING`` times as frequent there, in ever different company (so copies of one
-document don't count).
+lack: words and beginnings of words in at least ``MIN_DOCS`` different companies (the
+words beside them) in toxic training documents, and ``TELLING`` times as frequent there.
+Equal texts count once; an edited copy adds to a word only where the word stands in other
+company, and takes nothing from it.
 As both share their ordinary part, a window compresses equally well with either unless
 it holds toxic material; two dictionaries without a common part differ by chance more
 than by a few words in a long text.
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 
 from perilake.llm.batches import byte_rows, pieces
 from perilake.llm.labelled import training_labels
+from perilake.llm.shared import cut
 
 SAMPLE, WORDS, WINDOWS = 20_000, 2_000, 30_000
 WINDOW, LEVEL, DICTIONARY = 64, 9, 8192
-MIN_DOCS, TELLING, COMPANY, MIN_BYTES = 4, 8, 0.9, 4
+MIN_DOCS, TELLING, MIN_BYTES = 4, 8, 4
 #: Bytes gained in a window from which on windows are counted.
 GAINS = (2, 3, 4, 5, 6)
 #: Bytes of the beginnings of words that count beside whole words.
@@ -145,16 +147,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dictionaries(labelled: DataFrame) -> Distance:
-    """Both dictionaries from labelled texts: body, label."""
+    """Both dictionaries from labelled texts: body, label. Equal texts of one label count once."""
+    labelled = cut(labelled.select("body", "label").distinct())
     sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     one = F.col("label") == 1
     found = labelled.mapInArrow(_words, "word binary, label int, beside long").groupBy("word").agg(
-        F.count_if(one).alias("n1"), F.count_if(~one).alias("n0"),
-        F.count_distinct(F.when(one, F.col("beside"))).alias("company"))
-    telling = found.filter((F.col("n1") >= MIN_DOCS) & (F.col("company") >= COMPANY * F.col("n1"))
-                           & (F.col("n1") * max(n0, 1) >= TELLING * max(n1, 1) * (F.col("n0") + 0.5)))
-    words = [bytes(r.word) for r in telling.orderBy(F.desc("n1"), "word").limit(WORDS).collect()]
+        F.count_if(~one).alias("n0"), F.count_distinct(F.when(one, F.col("beside"))).alias("company"))
+    telling = found.filter((F.col("company") >= MIN_DOCS)
+                           & (F.col("company") * max(n0, 1) >= TELLING * max(n1, 1) * (F.col("n0") + 0.5)))
+    words = [bytes(r.word) for r in telling.orderBy(F.desc("company"), "word").limit(WORDS).collect()]
     # Windows are thinned by hash first, so that no more than about twice the number reaches the driver.
     n = labelled.filter(~one).agg(F.coalesce(F.sum(1 + F.octet_length("body") / WINDOW), F.lit(0.0)).alias("n")).first().n
     parts = [bytes(r.part) for r in labelled.filter(~one).mapInArrow(_cut, "part binary")

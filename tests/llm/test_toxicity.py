@@ -41,3 +41,13 @@ def test_nulls_empty_tables_and_clashing_names(spark):
         rows = quality.score(docs, toxicity.train(docs, known)).collect()
         assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert quality.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
+
+
+def test_copies_of_a_toxic_document_keep_its_words(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:03d}")
+    own = [(f"you {name(i)} blockhead {name(i + 500)} left", 1) for i in range(20)] + [(f"fine {name(i)} day", 0) for i in range(40)]
+    edited = [(f"you {name(0)} blockhead {name(500)} left {name(i)}", 1) for i in range(1, 5)]
+    lone = [(f"{name(i)} before a solitary after", 1) for i in range(6)]
+    for rows in (own, own + own[:1] * 30, own + own[:1] * 5 + edited + lone):
+        toxic = toxicity.dictionaries(spark.createDataFrame(rows, "body string, label int").repartition(3)).toxic
+        assert b" blockhead " in toxic and b"solitary" not in toxic
