@@ -3,16 +3,15 @@ r"""Personal data: base patterns, and terms that disclose a protected value.
 Base spans are found by four patterns with DataFrame functions. Java's engine gives the
 matches of a pattern and the text between them; their lengths give places.
 
-Around every base span, the terms beside it are collected. A term discloses a value if
-seeing the term tells most of what there is to know about the value:
+A term is a run of two or more letters, anywhere in a text that holds the value. It
+discloses the value if seeing it tells most of what there is to know about the value:
 
     I(value; term) = log2(N * n(value, term) / (n(value) * n(term))) >= alpha * log2(N / n(value))
 
 where N counts documents, n(value) documents with the value, n(term) documents with the
-term anywhere in the text, and n(value, term) documents in which the term stands near
-the value. One document is no evidence, so ``MIN_DOCS`` of them are asked for. Disclosing
-terms within reach of their value become spans: removed at ``REMOVE`` and above,
-generalised to their first letter below.
+term anywhere in the text, and n(value, term) documents with both. Most terms of one
+document are in it by chance, so ``MIN_DOCS`` documents are asked for. Disclosing terms become spans wherever they stand, in every text: removed
+at ``REMOVE`` and above, generalised to their first letter below.
 
 Counts are exact and over all documents. A term or value that very many documents share
 costs a partial row per task; joins on terms and values are split where they are hot.
@@ -23,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perilake.llm.shared import cut, free
+from perilake.llm.shared import cut, free, largest_frame_bytes
 
 #: Kinds in the order of the list of spans, with their patterns: fixed values of the
 #: contract. A match starts where no earlier match could go on, which keeps the search
@@ -40,8 +39,10 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+"}
 MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-TERM = r"\p{L}[\p{L}\p{M}]{3,}+"
-REACH, MIN_DOCS, ALPHA, REMOVE = 48, 3, 0.8, 0.95
+TERM = r"\p{L}[\p{L}\p{M}]++"
+REACH, MIN_DOCS, NEAR, ALPHA, REMOVE = 48, 3, 1, 0.8, 0.95
+#: Bytes of disclosing terms that are broadcast; more of them are joined with a shuffle.
+BROADCAST_BYTES = 16 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -135,27 +136,39 @@ def _beside(text: Column, spans: Column, reach: int) -> Column:
     return F.flatten(F.transform(spans, around))
 
 
-def disclosing(found: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS, alpha: float = ALPHA) -> DataFrame:
-    """Pairs (value, term) above the threshold, with their share of the value's information.
+def _words(body: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(TERM), F.lit(0)), F.lower))
 
-    ``found`` has values (distinct ones of each document) and pairs, ``texts`` has body.
+
+def disclosing(held: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS, alpha: float = ALPHA) -> DataFrame:
+    """Terms that disclose a value, with the largest share of a value's information.
+
+    ``held`` has row_id, row_hash, spans, beside and words of documents with values,
+    ``texts`` has body.
     """
-    n_docs = texts.count()
-    pairs = found.select(F.inline(F.array_distinct(F.transform(
-        "beside", lambda b: F.struct(b["value"].alias("value"), b["term"].alias("term")))))) \
-        .groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_docs)
-    pairs = cut(pairs)
+    n_docs = float(texts.count())
     # Counted before the join: a row per term and task, whatever terms are asked for.
-    n_term = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(TERM), F.lit(0)))).alias("term")) \
-        .groupBy("term").agg(F.count("*").alias("n_term"))
-    n_value = found.select(F.explode(F.array_distinct(F.transform(
-        "spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("value")) \
-        .groupBy("value").agg(F.count("*").alias("n_value"))
-    told = F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_value") * F.col("n_term")))
-    whole = F.log2(F.lit(float(n_docs)) / F.col("n_value"))
-    return pairs.join(n_term, "term").join(n_value, "value") \
-        .withColumn("share", F.when(whole > 0, told / whole).otherwise(0.0)).filter(F.col("share") >= alpha) \
-        .select("value", "term", "share")
+    n_term = texts.select(F.explode(_words(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    values = held.withColumn("copy", F.monotonically_increasing_id()).select("copy", "words", F.array_distinct(F.transform(
+        "spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))).alias("values"))
+    values = cut(values)
+    each = values.select("copy", F.explode("values").alias("value"))
+    n_value = each.groupBy("value").agg(F.count("*").alias("n_value"))
+    # n_both is at most n_value, so a more frequent term can't reach the threshold; the factor is for rounding.
+    each = each.join(n_value, "value").withColumn(
+        "most", F.pow("n_value", F.lit(alpha)) * F.pow(F.lit(n_docs), F.lit(1 - alpha)) * (1 + 1e-9))
+    words = values.select("copy", F.explode("words").alias("term")).join(n_term, "term")
+    told = F.log2(F.lit(n_docs) * F.col("n_both") / (F.col("n_value") * F.col("n_term")))
+    whole = F.log2(F.lit(n_docs) / F.col("n_value"))
+    both = each.join(words, (each["copy"] == words["copy"]) & (words["n_term"] <= each["most"])) \
+        .groupBy("value", "term", "n_value", "n_term").agg(F.count("*").alias("n_both")) \
+        .withColumn("share", F.when(whole > 0, told / whole).otherwise(0.0)).filter(F.col("share") >= alpha)
+    near = held.select(F.inline(F.array_distinct(F.transform(
+        "beside", lambda b: F.struct(b["value"].alias("value"), b["term"].alias("term")))))) \
+        .groupBy("value", "term").agg(F.count("*").alias("n_near"))
+    evidence = F.col("n_both") + (NEAR - 1) * F.coalesce("n_near", F.lit(0))
+    return both.join(near, ["value", "term"], "left").filter(evidence >= min_docs) \
+        .groupBy("term").agg(F.max("share").alias("share"))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH,
@@ -171,13 +184,22 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     rows = rows.withColumn("row_hash", F.xxhash64("body"))
     found = rows.withColumn("spans", base_spans(F.col("body"))).select(
-        "row_id", "row_hash", "spans", F.when(F.size("spans") > 0, _beside(F.col("body"), F.col("spans"), reach)).alias("beside"))
+        "row_id", "row_hash", "spans", F.when(F.size("spans") > 0, _beside(F.col("body"), F.col("spans"), reach)).alias("beside"),
+        F.when(F.size("spans") > 0, _words(F.col("body"))).alias("words"))
     found = cut(found)
     held = found.filter(F.size("spans") > 0)
-    pairs = disclosing(held, rows, min_docs, alpha)
-    places = held.select("row_id", "row_hash", F.inline("beside")).join(pairs, ["value", "term"]) \
-        .groupBy("row_id", "row_hash", "start", "end").agg(F.max("share").alias("share")) \
-        .groupBy("row_id", "row_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    telling = cut(disclosing(held, rows, min_docs, alpha))
+    if largest_frame_bytes(telling, "term") <= BROADCAST_BYTES:
+        telling = F.broadcast(telling)
+    # Which terms a text has is found without its places; only texts with some are searched for places.
+    hits = rows.select("row_id", "row_hash", F.explode(_words(F.col("body"))).alias("term")).join(telling, "term") \
+        .groupBy("row_id", "row_hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("telling"))
+    placed = F.transform(
+        F.filter(located(F.col("body"), TERM), lambda t: F.map_contains_key("telling", F.lower(t["value"]))),
+        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"),
+                           F.element_at("telling", F.lower(t["value"])).alias("share")))
+    places = rows.join(hits, ["row_id", "row_hash"]).select("row_id", "row_hash", placed.alias("terms")) \
+        .groupBy("row_id", "row_hash").agg(F.min("terms").alias("terms"))
     free_of_base = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
     none = F.array().cast("array<struct<start:int,end:int,share:double>>")
     return found.select("row_id", "row_hash", "spans").join(places, ["row_id", "row_hash"], "left") \
@@ -211,7 +233,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
                         F.when(e["start"] >= s["at"], F.concat(s["out"], more)).otherwise(s["out"]).alias("out"))
 
     done = F.aggregate(edits, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-    clean = F.when(F.size("found.spans") > 0, F.concat(
+    clean = F.when((F.size("found.spans") > 0) | (F.size("found.terms") > 0), F.concat(
         F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.char_length(text)))).otherwise(text)
     return both.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 

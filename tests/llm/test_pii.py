@@ -106,3 +106,15 @@ def test_empty_table_and_repeated_rows(spark):
     assert pii.sanitised(spark.createDataFrame([], schema)).count() == 0
     df = spark.createDataFrame([(1, "x a@b.cd y"), (1, "x a@b.cd y"), (None, None), (1, "other")], schema)
     assert sorted(str(r.text) for r in pii.sanitised(df).collect()) == ["None", "other", "x <EMAIL> y", "x <EMAIL> y"]
+
+
+def test_terms_far_from_their_value_are_cut_wherever_they_stand(spark):
+    filler = [f"{a}{b}ish" for a in "bcdfg" for b in "aeiou"]
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(filler, k=30))) for i in range(200)]
+    for i in range(8):
+        rows[i] = (i, f"Xu Quirrel {rows[i][1]} quirrel@mail.example.org {rows[i][1]} xu QUIRREL")
+    rows[100] = (100, f"{rows[100][1]} Quirrel")
+    got = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any("quirrel" in t.lower() or "xu " in t.lower() for t in got.values())
+    assert got[100].startswith(rows[100][1][:-7]) and all(got[i] == t for i, t in rows if i > 7 and i != 100)
