@@ -10,7 +10,9 @@ discloses the value if seeing it tells most of what there is to know about the v
 
 where N counts documents, n(value) documents with the value, n(term) documents with the
 term anywhere in the text, and n(value, term) documents with both. Most terms of one
-document are in it by chance, so ``MIN_DOCS`` documents are asked for. Disclosing terms become spans wherever they stand, in every text: removed
+document are in it by chance, so ``MIN_DOCS`` documents are asked for, and one in which
+the term stands within ``REACH`` of the value weighs as ``NEAR`` of them: beside a value,
+one is enough. Disclosing terms become spans wherever they stand, in every text: removed
 at ``REMOVE`` and above, generalised to their first letter below.
 
 Counts are exact and over all documents. A term or value that very many documents share
@@ -40,7 +42,7 @@ NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+"}
 MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"\p{L}[\p{L}\p{M}]++"
-REACH, MIN_DOCS, NEAR, ALPHA, REMOVE = 48, 3, 1, 0.8, 0.95
+REACH, MIN_DOCS, NEAR, ALPHA, REMOVE = 48, 3, 3, 0.8, 0.95
 #: Bytes of disclosing terms that are broadcast; more of them are joined with a shuffle.
 BROADCAST_BYTES = 16 << 20
 NULL_ID = -(1 << 63)
@@ -67,6 +69,11 @@ FOUND = "array<struct<start:int,end:int,value:string>>"
 STEP = 64
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, not again wherever a lambda names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def located(text: Column, pattern: str) -> Column:
     """Matches of a pattern in order: an array of start, end (code points) and value.
 
@@ -75,14 +82,18 @@ def located(text: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / STEP).cast("int")),
-                        lambda i: F.slice(pairs, i * STEP + 1, F.lit(STEP)))
+    pairs = _bound(found, lambda m: F.arrays_zip(F.slice(gaps, F.lit(1), F.size(m)).alias("gap"), m.alias("value")))
     length = lambda step: F.aggregate(step, F.lit(0), lambda n, p: n + p["gap"] + F.char_length(p["value"]))
-    begun = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda s, step: F.struct((s["at"] + length(step)).alias("at"), F.array_append(s["all"], s["at"]).alias("all")),
-        lambda s: s["all"])
+
+    def in_steps(all_pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / STEP).cast("int")),
+                           lambda i: F.slice(all_pairs, i * STEP + 1, F.lit(STEP)))
+
+    def begun(steps: Column) -> Column:
+        return F.aggregate(
+            steps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+            lambda s, step: F.struct((s["at"] + length(step)).alias("at"), F.array_append(s["all"], s["at"]).alias("all")),
+            lambda s: s["all"])
 
     def placed(step: Column, at: Column) -> Column:
         def put(s: Column, p: Column) -> Column:
@@ -93,7 +104,9 @@ def located(text: Column, pattern: str) -> Column:
 
         return F.aggregate(step, F.struct(at.alias("at"), F.array().cast(FOUND).alias("all")), put, lambda s: s["all"])
 
-    return F.when(F.size(found) > 0, F.flatten(F.zip_with(steps, begun, placed))).otherwise(F.array().cast(FOUND))
+    whole = _bound(pairs, lambda x: F.when(F.size(x) > 0, _bound(in_steps(x), lambda steps: F.flatten(
+        F.zip_with(steps, begun(steps), placed)))).otherwise(F.array().cast(FOUND)))
+    return F.coalesce(whole, F.array().cast(FOUND))
 
 
 def _spans(text: Column, rank: int, kind: str) -> Column:

@@ -108,6 +108,18 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted(str(r.text) for r in pii.sanitised(df).collect()) == ["None", "other", "x <EMAIL> y", "x <EMAIL> y"]
 
 
+def test_a_name_beside_one_value_discloses_it(spark):
+    filler = [f"{a}{b}ish" for a in "bcdfg" for b in "aeiou"]
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(filler, k=30))) for i in range(200)]
+    rows[7] = (7, rows[7][1] + " Quirrel li@mail.example.org")
+    rows[9] = (9, "Zebulon " + rows[9][1] + " bo@mail.example.org")
+    got = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Quirrel" not in got[7] and "<EMAIL>" in got[7]
+    assert "Zebulon" in got[9]  # one document, far from the value: no evidence
+    assert all(got[i] == t for i, t in rows if i not in (7, 9))
+
+
 def test_terms_far_from_their_value_are_cut_wherever_they_stand(spark):
     filler = [f"{a}{b}ish" for a in "bcdfg" for b in "aeiou"]
     rng = random.Random(4)
