@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perilake.llm import chat, exact_dedup, leaks, line_dedup, near_dedup, pii, quality, subwords, toxicity, warc
+from perilake.llm import chat, exact_dedup, leaks, line_dedup, near_dedup, pii, quality, repair, subwords, toxicity, warc
 from perilake.llm.shared import fresh_path, table
 
 #: Where the public vocabulary lies on the driver's machine.
@@ -140,6 +140,72 @@ def op10_toxicity(spark, sf_dir):
     return quality.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), folds=4, held=2)
 
 
+def op11_conversation_repair(spark, sf_dir):
+    """Faults and cheapest repair of every conversation, after damage by a checksum."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(conversations), conversations)
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _insert(x: str, name: str) -> str:
+    return f"{{'c': {x}.c + 5, 'a': {x}.a || 'I', 'd': {x}.d || '{name}:' || chr(10)}}"
+
+
+def _take(x: str, initial: str, name: str) -> str:
+    return f"""CASE WHEN r.gone THEN {{'c': 1000000000, 'a': '', 'd': ''}}
+      WHEN r.i = '{initial}' THEN {{'c': {x}.c + r.pen, 'a': {x}.a || 'K', 'd': {x}.d || r.role || ':' || r.text || chr(10)}}
+      ELSE {{'c': {x}.c + r.pen + 1, 'a': {x}.a || 'R', 'd': {x}.d || '{name}:' || r.text || chr(10)}} END"""
+
+
+def _delete(x: str) -> str:
+    return f"{{'c': {x}.c + 2, 'a': {x}.a || 'D', 'd': {x}.d}}"
+
+
+_GROW = f"""lambda g: {{'s0': g.s0, 's1': g.s1,
+   's2': {_least('g.s2', _insert('g.s0', 'user'), _insert('g.s1', 'user'), _insert('g.s3', 'user'))},
+   's3': {_least('g.s3', _insert('g.s2', 'assistant'))}}}"""
+_GROWN = f"list_transform(list_transform([acc], {_GROW}), {_GROW})"
+_SYSTEM = "CASE WHEN r.i = 's' THEN " + _take("g.s0", "s", "") + " ELSE {'c': 1000000000, 'a': '', 'd': ''} END"
+_STEP = f"""lambda g: {{'s0': {_delete('g.s0')}, 's1': {_least(_delete('g.s1'), _SYSTEM)},
+   's2': {_least(_delete('g.s2'), *(_take(f'g.s{k}', 'u', 'user') for k in (0, 1, 3)))},
+   's3': {_least(_delete('g.s3'), _take('g.s2', 'a', 'assistant'))}}}"""
+_NONE = "{'c': 1000000000, 'a': '', 'd': ''}"
+# A checksum bit by bit, then a fold over each conversation's rows that keeps the least (cost, audit) of four states.
+SQL["op11_conversation_repair"] = f"""
+WITH keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+               FROM conversations),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_transform(string_split(k, ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+    lambda c, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[],
+      lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295), 4294967295) % 20 AS kind
+  FROM keyed),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM raw WHERE kind <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS i,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM hurt),
+flagged AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair, CASE WHEN bare = '' THEN 'blank'
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+  WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM num),
+conv AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  list({{'i': i, 'role': role, 'text': text, 'gone': fault IN ('blank', 'duplicate'),
+        'pen': CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END}} ORDER BY pos) AS rows
+  FROM flagged GROUP BY conv_id),
+ends AS (SELECT *, list_reduce(rows, lambda acc, r: list_transform({_GROWN}, {_STEP})[1],
+  {{'s0': {{'c': 0, 'a': '', 'd': ''}}, 's1': {_NONE}, 's2': {_NONE}, 's3': {_NONE}}}) AS acc FROM conv),
+grown AS (SELECT *, {_GROWN}[1] AS g FROM ends),
+best AS (SELECT *, list_min([g.s0, g.s3]) AS b FROM grown)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost,
+  coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.d, 1, greatest(length(b.d) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 QUERIES = {
     "op1_leaks": op1_leaks,
     "op2_line_windows": op2_line_windows,
@@ -151,4 +217,5 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
 }
