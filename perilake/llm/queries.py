@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perilake.llm import chat, exact_dedup, leaks, line_dedup, near_dedup, pii, quality, repair, subwords, toxicity, warc
+from perilake.llm import chat, exact_dedup, leaks, line_dedup, near_dedup, pii, pivots, quality, repair, subwords, toxicity, warc, whitening
 from perilake.llm.shared import fresh_path, table
 
 #: Where the public vocabulary lies on the driver's machine.
@@ -206,6 +206,25 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
+def op12_whitening(spark, sf_dir):
+    """Whitened coordinates of every embedding in four components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_pivot_search(spark, sf_dir):
+    """The five embeddings of largest inner product for every fiftieth one, out of all."""
+    return pivots.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+SQL["op13_pivot_search"] = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+pairs AS (SELECT q.row AS q_row, q.vec_id AS query_id, c.vec_id, c.row, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row <> c.row)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM pairs
+WINDOW w AS (PARTITION BY q_row ORDER BY score DESC, vec_id, row) QUALIFY row_number() OVER w <= 5"""
+
 QUERIES = {
     "op1_leaks": op1_leaks,
     "op2_line_windows": op2_line_windows,
@@ -218,4 +237,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_whitening": op12_whitening,
+    "op13_pivot_search": op13_pivot_search,
 }
