@@ -1,154 +1,35 @@
-"""Additive feature attribution of tree ensembles (path-dependent Shapley values).
-
-A leaf contributes only through the features on its path. For each leaf the
-splits on one feature close up to an interval, and a row either lies inside it
-or not; so the Shapley value of a leaf depends on a row only through one bit per
-path feature. Rows of an Arrow batch sharing the same bits share the work.
-"""
+"""Additive feature attribution of tree ensembles, and what is read from it."""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
-from math import factorial
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from perilake.functions import risk
 from perilake.functions.numeric import exact_avg
 from perilake.functions.ordering import down, up
+from perilake.operators import trees
 from perilake.sources.schemas import FEATURES
 
 IMPACT_SCALE = 10
 
-# Leaf: (value, [(feature, low, high, share of rows that stay inside), ...])
-Leaf = tuple[float, list[tuple[int, float, float, float]]]
-
-
-def ensemble_leaves(spark: SparkSession, model: PipelineModel, path: str) -> list[Leaf]:
-    """Leaves of the saved ensemble, at most trees * 2^depth of them.
-
-    That bound is set by the model's parameters, not by the data it was fit on.
-
-    Forest leaves carry the class-1 probability divided by the number of trees;
-    boosted leaves carry log-odds (twice the weighted tree output).
-    """
-    ensemble = model.stages[-1]
-    ensemble.write().overwrite().save(path)
-    stored = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-    forest = hasattr(ensemble, "getNumTrees") and "RandomForest" in type(ensemble).__name__
-    weights = [1.0 / ensemble.getNumTrees] * ensemble.getNumTrees if forest else [2.0 * w for w in ensemble.treeWeights]
-
-    trees: dict[int, dict[int, object]] = defaultdict(dict)
-    for node in stored.collect():
-        trees[node["treeID"]][node["id"]] = node
-
-    leaves: list[Leaf] = []
-    for tree_id, nodes in trees.items():
-        cover = {i: float(sum(n["impurityStats"])) if forest else float(n["rawCount"]) for i, n in nodes.items()}
-        pending = [(0, {})]
-        while pending:
-            at, box = pending.pop()
-            node = nodes[at]
-            if node["leftChild"] < 0:
-                value = node["impurityStats"][1] / cover[at] if forest else node["prediction"]
-                leaves.append((weights[tree_id] * value, [(f, *box[f]) for f in sorted(box)]))
-                continue
-            feature, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-            low, high, stay = box.get(feature, (-np.inf, np.inf, 1.0))
-            left, right = node["leftChild"], node["rightChild"]
-            pending.append((left, {**box, feature: (low, min(high, cut), stay * cover[left] / cover[at])}))
-            pending.append((right, {**box, feature: (max(low, cut), high, stay * cover[right] / cover[at])}))
-    return leaves
-
-
-def base_value(leaves: Sequence[Leaf]) -> float:
-    return float(sum(value * np.prod([stay for *_, stay in box]) for value, box in leaves))
-
-
-def pack(leaves: Sequence[Leaf]) -> list[tuple[np.ndarray, ...]]:
-    """Leaves as arrays, one group per path length: values, features, low, high, stay."""
-    groups: dict[int, list[Leaf]] = defaultdict(list)
-    for leaf in leaves:
-        if leaf[1]:  # a tree of one leaf has no impact on any row
-            groups[len(leaf[1])].append(leaf)
-    return [
-        (
-            np.array([value for value, _ in group]),
-            np.array([[f for f, *_ in box] for _, box in group], dtype=np.int16),
-            *(np.array([[b[k] for b in box] for _, box in group]) for k in (1, 2, 3)),
-        )
-        for group in groups.values()
-    ]
-
-
-def leaf_shares(inside: np.ndarray, stay: np.ndarray) -> np.ndarray:
-    """Shapley weights per path feature for each 0/1 row of ``inside``."""
-    n, d = inside.shape
-    sizes = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
-    out = np.empty((n, d))
-    for i in range(d):
-        poly = np.zeros((n, d))  # coefficient k: products with k known features
-        poly[:, 0] = 1.0
-        for j in range(d):
-            if j != i:
-                shifted = np.roll(poly, 1, axis=1) * inside[:, [j]]
-                shifted[:, 0] = 0.0
-                poly = poly * stay[j] + shifted
-        out[:, i] = (inside[:, i] - stay[i]) * (poly @ sizes)
-    return out
-
-
-def shapley(x: np.ndarray, packed: Sequence[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """Impact of each feature on each row of ``x``."""
-    impact = np.zeros(x.shape)
-    for group in packed:
-        places = 1 << np.arange(group[1].shape[1])
-        for value, columns, low, high, stay in zip(*group):
-            part = x[:, columns]
-            inside = (part > low) & (part <= high)
-            _, first, which = np.unique(inside @ places, return_index=True, return_inverse=True)
-            impact[:, columns] += value * leaf_shares(inside[first].astype(float), stay)[which]
-    return impact
-
 
 def attribute(
-    model: PipelineModel,
+    model: PipelineModel | trees.Ensemble,
     df: DataFrame,
-    path: str,
+    path: str | None,
     keep: Sequence[str],
     features: Sequence[str] = FEATURES,
 ) -> DataFrame:
-    """Columns ``keep``, ``base`` and ``impacts`` array<struct<feature, impact>>."""
-    spark = df.sparkSession
-    leaves = ensemble_leaves(spark, model, path)
-    base = base_value(leaves)
-    shared = spark.sparkContext.broadcast(pack(leaves))
-    keep, features = list(keep), list(features)
-    held = [f"_k{i}" for i in range(len(keep))]
-    rows = df.select(
-        *[F.col(c).alias(h) for c, h in zip(keep, held)],
-        *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)],
-    )
-
-    def explain(batches):
-        for batch in batches:
-            x = batch[[f"_x{i}" for i in range(len(features))]].to_numpy(dtype=float)
-            out = batch[held].copy()
-            out["_impact"] = list(shapley(x, shared.value))
-            yield pd.DataFrame(out)
+    """Columns ``keep``, ``base`` and ``impacts`` array<struct<feature, impact>>.
 
-    kinds = ", ".join(f"{h} {df.schema[c].dataType.simpleString()}" for c, h in zip(keep, held))
-    raw = rows.mapInPandas(explain, f"{kinds}, _impact array<double>")
-    named = F.array(
-        *[F.struct(F.lit(f).alias("feature"), F.col("_impact")[i].alias("impact")) for i, f in enumerate(features)]
-    )
-    return raw.select(
-        *[F.col(h).alias(c) for c, h in zip(keep, held)], F.lit(base).alias("base"), named.alias("impacts")
-    )
+    Nodes of a fitted pipeline are stored at ``path`` on the way.
+    """
+    ensemble = model if isinstance(model, trees.Ensemble) else trees.stored_ensemble(df.sparkSession, model, path)
+    explained = trees.with_outputs(ensemble, df, features, keep, probability=None, impacts="impacts")
+    return explained.select(*keep, F.lit(ensemble.base()).alias("base"), "impacts")
 
 
 def top_factors(impacts: Column, k: int) -> Column:

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from perilake.functions.numeric import round_to
 
-SCORE_BINS = 4096
-
 
 def confusion(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
     actual, said = F.col(label) == 1, F.col(prediction) == 1
@@ -78,54 +76,61 @@ def classification_report(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame
     return cells.select(*by, F.inline(rows))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), bins: int = SCORE_BINS) -> DataFrame:
-    """Exact area under the ROC curve, ties counted half.
-
-    Rows are first reduced to one per distinct score, so a hot score costs one
-    row. Scores are then ordered inside equal-width bins of [0, 1], and only the
-    bin totals (at most ``bins`` rows per model) meet in one running sum. A
-    score outside [0, 1] joins the nearest bin, which keeps the order.
-    """
-    by = list(by)
-    wide = T.DecimalType(38, 0)
+def score_table(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct score: ``_s``, ``pos``, ``neg``. A hot score is reduced in each task."""
     scored = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    ties = scored.groupBy(*by, F.col(score).alias("_s")).agg(
+    return scored.groupBy(*by, F.col(score).alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
-    place = F.greatest(F.lit(0.0), F.least(F.col("_s"), F.lit(1.0)))
-    ties = ties.withColumn("_bin", F.floor(place * F.lit(float(bins))).cast("int"))
-    upto = Window.partitionBy(*by, "_bin").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def score_quality(ties: DataFrame, by: Sequence[str] = (), at: float = 0.5) -> DataFrame:
+    """Confusion cells at a threshold and the exact area under the ROC curve, ties counted half.
+
+    ``ties`` is a score table. Its scores are range-partitioned, so scores that crowd in
+    one place are spread like any others; running sums are made inside each range, and
+    only the ranges' totals meet in one sum per model. Scores may be any numbers. An area
+    of one class only is null.
+    """
+    by, wide = list(by), T.DecimalType(38, 0)
+    ranged = ties.repartitionByRange(*by, "_s").withColumn("_part", F.spark_partition_id())
+    upto = Window.partitionBy(*by, "_part").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
     below = F.sum("neg").over(upto) - F.col("neg")
     # Twice the number of ordered pairs, so that half credit stays a whole number.
     inside = (F.col("pos").cast(T.DecimalType(18, 0)) * (below * 2 + F.col("neg")).cast(T.DecimalType(19, 0))).cast(wide)
-    per_bin = (
-        ties.withColumn("inside", inside)
-        .groupBy(*by, "_bin")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("inside").alias("inside"))
-    )
-    earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    said = F.col("_s") >= F.lit(at)
+    parts = ranged.withColumn("inside", inside).groupBy(*by, "_part").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("inside").alias("inside"),
+        F.sum(F.when(said, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(said, F.col("neg")).otherwise(0)).alias("fp"))
+    earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("neg").over(earlier), F.lit(0))
     across = (F.col("pos").cast(T.DecimalType(18, 0)) * (before * 2).cast(T.DecimalType(19, 0))).cast(wide)
-    pairs = per_bin.withColumn("twice", F.col("inside") + across)
-    return pairs.groupBy(*by).agg(
-        F.try_divide(
-            F.sum("twice").cast("double") / F.lit(2.0),
-            F.sum("pos").cast("double") * F.sum("neg").cast("double"),
-        ).alias("roc_auc")
-    )
+    total = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("pos", "neg", "tp", "fp")}
+    return parts.withColumn("twice", F.col("inside") + across).groupBy(*by).agg(
+        (total["neg"] - total["fp"]).alias("tn"), total["fp"].alias("fp"), (total["pos"] - total["tp"]).alias("fn"),
+        total["tp"].alias("tp"),
+        F.try_divide(F.sum("twice").cast("double") / F.lit(2.0), F.sum("pos").cast("double") * F.sum("neg").cast("double"))
+        .alias("roc_auc"))
+
+
+def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Exact area under the ROC curve of each model, see ``score_quality``."""
+    return score_quality(score_table(df, label, score, by), by).select(*by, "roc_auc")
+
+
+def quality(df: DataFrame, label: str, score: str, by: Sequence[str] = (), at: float = 0.5) -> DataFrame:
+    """Confusion cells, accuracy and area under the curve from one pass over the rows."""
+    cells = score_quality(score_table(df, label, score, by), by, at)
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    return cells.select(*by, "tn", "fp", "fn", "tp", _ratio(tn + tp, tn + fp + fn + tp).alias("accuracy"), "roc_auc")
 
 
 def compare_models(df: DataFrame, models: Sequence[str], label: str, score: str, at: float = 0.5) -> DataFrame:
-    """Metric table with one column per model, from rows (model, label, score)."""
-    said = df.withColumn("_said", (F.col(score) >= F.lit(at)).cast("int"))
-    cells = confusion(said, label, "_said", by=["model"])
-    tp, fn = F.col("tp"), F.col("fn")
-    wide = (
-        accuracy(cells, by=["model"])
-        .withColumn("recall_claim", _ratio(tp, tp + fn))
-        .join(business_rates(cells, by=["model"]), "model")
-        .join(roc_auc(df, label, score, by=["model"]), "model")
-    )
-    names = ["accuracy", "roc_auc", "recall_claim", "detection_rate", "false_alert_rate"]
-    long = wide.unpivot(["model"], names, "metric", "value")
-    return long.groupBy("metric").pivot("model", list(models)).agg(F.first("value"))
+    """Metric table with one column per model, from rows (model, label, score), each read once."""
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    rates = [round_to(F.try_divide(part.cast("double"), (part + rest).cast("double")) * F.lit(100.0), 1) for part, rest in ((tp, fn), (fp, tn))]
+    figures = {"accuracy": F.col("accuracy"), "roc_auc": F.col("roc_auc"), "recall_claim": _ratio(tp, tp + fn),
+               "detection_rate": rates[0], "false_alert_rate": rates[1]}
+    long = F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("value")) for n, c in figures.items()])
+    rows = quality(df, label, score, ["model"], at).select("model", F.inline(long))
+    return rows.groupBy("metric").pivot("model", list(models)).agg(F.first("value"))

@@ -7,11 +7,28 @@ from conftest import values
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from perilake.operators import attribution, metrics, models, sampling
+from perilake.operators import attribution, metrics, models, sampling, trees
 from perilake.plans import modeling
 from perilake.sources.schemas import FEATURES
 
 
+def leaves_of(ensemble):
+    """Leaves as (value, [(feature, low, high, share of rows that stay), ...])."""
+    out, pending = [], [(int(r), {}) for r in ensemble.roots]
+    while pending:
+        at, box = pending.pop()
+        f = int(ensemble.feature[at])
+        if f < 0:
+            out.append((ensemble.value[at], [(k, *box[k]) for k in sorted(box)]))
+            continue
+        low, high, stay = box.get(f, (-np.inf, np.inf, 1.0))
+        left, right, cut = int(ensemble.left[at]), int(ensemble.right[at]), ensemble.cut[at]
+        share = ensemble.cover[left] / ensemble.cover[at]
+        pending.append((left, {**box, f: (low, min(high, cut), stay * share)}))
+        pending.append((right, {**box, f: (max(low, cut), high, stay * ensemble.cover[right] / ensemble.cover[at])}))
+    return out
+
+
 def expected(leaves, x, known):
     """Value of the ensemble when only some features are known."""
     total = 0.0
@@ -48,20 +65,19 @@ NAMES = ["a", "b", "c", "d"]
 
 def test_forest_shapley_is_exact(spark, small, tmp_path):
     df, x = small
-    model = models.train_forest(df, NAMES, "y", trees=5, depth=4)
-    leaves = attribution.ensemble_leaves(spark, model, str(tmp_path / "forest"))
-    got = attribution.shapley(x[:15], attribution.pack(leaves))
-    for row, impact in zip(x[:15], got):
-        assert impact == pytest.approx(brute_force(leaves, row), abs=1e-12)
+    model = models.train_forest(df, NAMES, "y", n_trees=5, depth=4)
+    ensemble = trees.stored_ensemble(spark, model, str(tmp_path / "forest"))
+    for row, impact in zip(x[:15], ensemble.shapley(x[:15])):
+        assert impact == pytest.approx(brute_force(leaves_of(ensemble), row), abs=1e-12)
 
 
 @pytest.mark.parametrize("kind", ["forest", "boosted"])
 def test_impacts_add_up_to_the_model_output(spark, small, tmp_path, kind):
     df, _ = small
     if kind == "forest":
-        model = models.train_forest(df, NAMES, "y", trees=6, depth=5)
+        model = models.train_forest(df, NAMES, "y", n_trees=6, depth=5)
     else:
-        model = models.train_boosted(df, "id", NAMES, "y", rounds=6, depth=3, step=0.3)
+        model = models.train_boosted(df, "id", str(tmp_path / "growth"), NAMES, "y", rounds=6, depth=3, step=0.3, patience=3)
     explained = attribution.attribute(model, df, str(tmp_path / kind), ["id"], NAMES)
     total = F.aggregate("impacts", F.lit(0.0), lambda t, e: t + e["impact"]) + F.col("base")
     p = models.with_probability(model, df).select("id", "probability")
@@ -71,24 +87,108 @@ def test_impacts_add_up_to_the_model_output(spark, small, tmp_path, kind):
     assert explained.count() == 400
 
 
-def test_shapley_of_deep_paths(spark):
-    rng = np.random.default_rng(2)
-    leaves = [(rng.normal(), [(f, -0.5, rng.normal(), rng.random()) for f in range(9)]) for _ in range(3)]
-    x = rng.normal(size=(6, 9))
-    for row, impact in zip(x, attribution.shapley(x, attribution.pack(leaves))):
-        assert impact == pytest.approx(brute_force(leaves, row), abs=1e-12)
+def grown(rng, depth, n_features, unbalanced=0.0):
+    """A random declared tree; features come back on a path."""
+    if depth == 0 or rng.random() < unbalanced:
+        return float(rng.normal())
+    return (int(rng.integers(n_features)), float(rng.normal()), float(rng.uniform(0.1, 0.9)),
+            grown(rng, depth - 1, n_features, unbalanced), grown(rng, depth - 1, n_features, unbalanced))
+
+
+@pytest.mark.parametrize("depth, n_features, unbalanced", [(1, 1, 0.0), (4, 3, 0.0), (6, 9, 0.1), (9, 8, 0.3), (7, 4, 0.2)])
+def test_shapley_of_random_trees(depth, n_features, unbalanced):
+    rng = np.random.default_rng(depth)
+    ensemble = trees.declared_ensemble([grown(rng, depth, n_features, unbalanced) for _ in range(3)], 0.5, False)
+    x = rng.normal(size=(4, n_features))
+    got = ensemble.shapley(x)
+    for row, impact in zip(x, got):
+        assert impact == pytest.approx(brute_force(leaves_of(ensemble), row), abs=1e-12)
+    assert got.sum(axis=1) + ensemble.base() == pytest.approx(ensemble.parts(x).sum(axis=1))
+
+
+def test_shapley_with_more_bits_than_a_table_holds():
+    """A path of 20 features: patterns are told apart by sorting, values add up."""
+    rng = np.random.default_rng(8)
+    tree = 1.0
+    for f in range(20):
+        tree = (f, 0.0, 0.4, tree, float(f))
+    ensemble = trees.declared_ensemble([tree], 1.0, False)
+    x = rng.normal(size=(50, 20)) - 1.0
+    assert ensemble.shapley(x).sum(axis=1) + ensemble.base() == pytest.approx(ensemble.parts(x).sum(axis=1))
+
+
+def test_missing_values_go_right(spark):
+    ensemble = trees.declared_ensemble([(0, 1.0, 0.5, 0.25, 0.75)], 1.0, False)
+    df = spark.createDataFrame([(1, 0.5), (2, None), (3, 2.0), (4, float("nan"))], "id long, a double")
+    got = trees.with_outputs(ensemble, df, ["a"], ["id"], impacts="impacts").select("id", "probability", F.col("impacts")[0]["impact"])
+    assert sorted(values(got)) == [(1, 0.25, -0.25), (2, 0.75, 0.25), (3, 0.75, 0.25), (4, 0.75, 0.25)]
+
+
+def test_a_batch_larger_than_one_chunk(monkeypatch):
+    rng = np.random.default_rng(1)
+    ensemble = trees.declared_ensemble([grown(rng, 5, 4) for _ in range(3)], 1.0, False)
+    x = rng.normal(size=(100, 4))
+    want = ensemble.shapley(x)
+    monkeypatch.setattr(trees, "ROWS_AT_ONCE", 7)
+    assert np.abs(ensemble.shapley(x) - want).max() < 1e-12
+
+
+def test_stored_nodes_come_back(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    ensemble = trees.declared_ensemble([grown(rng, 4, 3) for _ in range(3)], 1.0, True)
+    trees.save_ensemble(spark, ensemble, str(tmp_path / "nodes"))
+    again = trees.load_ensemble(spark, str(tmp_path / "nodes"))
+    x = rng.normal(size=(20, 3))
+    assert (again.probability(x) == ensemble.probability(x)).all() and again.base() == ensemble.base()
+
+
+def test_walk_gives_the_probability_of_the_library(spark, small, tmp_path):
+    df, x = small
+    for model in (models.train_forest(df, NAMES, "y", n_trees=5, depth=4),
+                  models.train_boosted(df, "id", str(tmp_path / "growth"), NAMES, "y", rounds=5, depth=3, patience=2)):
+        ensemble = trees.stored_ensemble(spark, model, str(tmp_path / type(model.stages[-1]).__name__))
+        ours = dict(values(trees.with_outputs(ensemble, df, NAMES, ["id"])))
+        theirs = dict(values(models.with_probability(model, df), "id", "probability"))
+        assert max(abs(ours[i] - theirs[i]) for i in theirs) < 1e-12
+
+
+def test_best_round():
+    assert models.best_round([0.5, 0.6, 0.55, 0.6, 0.58], 3) == (2, True)
+    assert models.best_round([0.5, 0.6, 0.55, 0.6], 3) == (2, False)
+    assert models.best_round([None, None], 1) == (1, True)
+    # A higher area after the stop is not looked at.
+    assert models.best_round([0.5, 0.4, 0.4, 0.9], 2) == (1, True)
+
+
+def test_noise_rounds_are_cut(spark, tmp_path):
+    """Labels follow one feature and noise: rounds after the first good ones only fit the noise."""
+    rng = np.random.default_rng(11)
+    rows = [(i, float(a), float(b), float(rng.random() < (0.9 if a > 0.5 else 0.1)))
+            for i, (a, b) in enumerate(rng.random((600, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    args = dict(key="id", features=["a", "b"], label="y", depth=4, step=0.3, patience=4, validation_share=0.3)
+    model = models.train_boosted(df, path=str(tmp_path / "long"), rounds=40, **args)
+    kept = len(model.stages[-1].trees)
+    assert 1 <= kept < 36
+    # The kept trees are the first ones of the longer run, and survive saving.
+    grown_stage = max((tmp_path / "long").glob("grown-*"), key=lambda p: int(p.name.split("-")[1]))
+    assert kept < int(grown_stage.name.split("-")[1])
+    models.save_model(model, str(tmp_path / "m"))
+    again = models.load_model(str(tmp_path / "m"))
+    pick = ("id", "probability")
+    assert sorted(values(models.with_probability(model, df), *pick)) == sorted(values(models.with_probability(again, df), *pick))
 
 
 def test_constant_model_has_no_impacts(spark, tmp_path):
     df = spark.createDataFrame([(i, 1.0, 1.0, float(i % 2)) for i in range(20)], "id long, a double, b double, y double")
-    model = models.train_forest(df, ["a", "b"], "y", trees=2, depth=3)
+    model = models.train_forest(df, ["a", "b"], "y", n_trees=2, depth=3)
     explained = attribution.attribute(model, df, str(tmp_path / "flat"), ["id"], ["a", "b"])
     assert set(values(explained.select(F.inline("impacts")), "impact")) == {(0.0,)}
 
 
 def test_saved_model_scores_the_same(spark, small, tmp_path):
     df, _ = small
-    model = models.train_forest(df, NAMES, "y", trees=5, depth=4)
+    model = models.train_forest(df, NAMES, "y", n_trees=5, depth=4)
     models.save_model(model, str(tmp_path / "m"))
     again = models.load_model(str(tmp_path / "m"))
     pick = ("id", "probability")
@@ -110,6 +210,20 @@ def test_scored_record(lake):
     assert sorted(values(models.score(model, shuffled, ["ID"]))) == sorted(values(scored))
 
 
+def test_records_carry_the_largest_factors(lake):
+    few = lake.gold("claims").where("ID % 20 = 0").cache()
+    ensemble = modeling.nodes(lake, modeling.forest)
+    records = {r["ID"]: r for r in models.score_records(ensemble, few, ["ID"], factors=5).collect()}
+    plain = {r["ID"]: r for r in models.score(modeling.forest(lake), few, ["ID"]).collect()}
+    impacts = {r["ID"]: r["impacts"] for r in attribution.attribute(ensemble, few, None, ["ID"]).collect()}
+    assert records.keys() == plain.keys()
+    for i, r in records.items():
+        assert all(r[c] == plain[i][c] for c in plain[i].asDict())
+        best = sorted(impacts[i], key=lambda e: (-abs(e["impact"]), e["feature"]))[:5]
+        assert [e["feature"] for e in r["top_risk_factors"]] == [e["feature"] for e in best]
+        assert [e["impact"] for e in r["top_risk_factors"]] == pytest.approx([e["impact"] for e in best], abs=5.1e-5)
+
+
 def test_rounds_curve_has_a_row_per_tree(lake):
     model = modeling.boosted(lake)
     curve = modeling.m12(lake).collect()
