@@ -9,6 +9,7 @@ from perilake.plans.checksql import over_both, over_claims, over_motor
 from perilake.plans.knowledge import _CHUNKS
 from perilake.plans.reports import MOTOR_PROFILE_SQL
 from perilake.sources import files
+from perilake.sources.schemas import CATEGORIES, CLAIMS
 from perilake.streaming import refresh, summaries
 
 ARRIVAL_FILES = 3
@@ -29,6 +30,33 @@ def s01(lake):
     return _streamed(lake, refresh.CLAIMS_FEED).read("silver")
 
 
+_FIRST = ", ".join(f"min(ID % {ARRIVAL_FILES}) OVER (PARTITION BY {c}) AS first_{c}" for c in CATEGORIES)
+_GROWN = "arrived AS (SELECT *, " + _FIRST + " FROM silver_claims), grown AS (SELECT " + ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY first_{f.name}, {f.name}) - 1 AS INTEGER) AS {f.name}" if f.name in CATEGORIES else f.name
+    for f in CLAIMS.fields) + " FROM arrived)"
+
+
+@plan(
+    "s01_stream_gold_claims",
+    over_claims(
+        """SELECT *, risk_score_ AS risk_score, CAST(ANNUAL_MILEAGE > 15000 AS INTEGER) AS high_mileage_flag,
+        CAST(CASE WHEN risk_score_ > -1 AND risk_score_ <= 2 THEN 0 WHEN risk_score_ <= 5 THEN 1 WHEN risk_score_ <= 100 THEN 2 END
+        AS INTEGER) AS risk_tier FROM (SELECT *, CAST(2 * PAST_ACCIDENTS + SPEEDING_VIOLATIONS + 3 * DUIS AS BIGINT) AS risk_score_
+        FROM grown)""".replace("SELECT *, risk_score_ AS", "SELECT * EXCLUDE (risk_score_), risk_score_ AS"),
+        _GROWN,
+    ),
+)
+def s01_gold(lake):
+    """Codes follow the order of arrival: the file of an ID is its remainder."""
+    root = lake.store.fresh_path("stream", "gold_claims")
+    job = refresh.Refresh(lake.spark, refresh.CLAIMS_FEED, root)
+    for i in range(ARRIVAL_FILES):
+        files.write_csv(lake.bronze("claims").where(F.col("ID") % ARRIVAL_FILES == i).coalesce(1), f"{root}/arrivals/{i}")
+    # The stream takes files by time of writing.
+    job.start(f"{root}/arrivals/*", files_per_batch=1, every=None).awaitTermination()
+    return job.read("gold")
+
+
 @plan("s02_stream_motor", over_motor("SELECT * FROM gold_motor"))
 def s02(lake):
     return _streamed(lake, refresh.MOTOR_FEED).read("gold")

@@ -2,12 +2,17 @@
 
 Every micro-batch writes its own ``batch_id=`` folder in each table and reads
 only folders of earlier batches, so a batch that is run again after a failure
-replaces its own output and nothing else.
+replaces its own output and nothing else. Batches are numbered from 0 without gaps.
+
+What a batch reads does not grow with the number of batches. Rows seen so far lie in
+hash buckets, in a folder for each batch and in merged folders of 16, 256, ... batches,
+so that a batch opens its own buckets of at most 15 folders of each size. Sums and
+codes are kept whole in each batch's folder, made from those of the batch before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -17,15 +22,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from perilake.functions.parsing import normalize_missing
 from perilake.operators import cleaning, encoding, features
+from perilake.operators.partials import merge
 from perilake.sources.files import EXACT
 from perilake.sources.schemas import CATEGORIES, CLAIMS, MOTOR
 from perilake.streaming import summaries
 
 BATCH = "batch_id"
 KEY = "row_key"
+BUCKET = "bucket"
+# Below the number of folders from which Spark lists them by a job.
+BUCKETS = 32
+# So many folders of seen rows become one.
+FAN_IN = 16
 # Repeated keys up to this number are looked up by value in the stored rows.
 LOOKUP_KEYS = 1_000
 
+CODES = T.StructType([
+    T.StructField("column_name", T.StringType()), T.StructField("value", T.StringType()), T.StructField("code", T.IntegerType())])
+
 
 @dataclass(frozen=True)
 class Feed:
@@ -38,16 +52,17 @@ class Feed:
     encoded: bool
     featured: Callable[[DataFrame], DataFrame]
     partials: Callable[[DataFrame], DataFrame]
+    keys: Sequence[str]
     chunks: Callable[[DataFrame], DataFrame]
 
 
 CLAIMS_FEED = Feed(
     "claims", CLAIMS, cleaning.drop_missing, lambda raw: raw, True,
-    features.add_driver_features, summaries.claims_partials, summaries.claims_chunks,
+    features.add_driver_features, summaries.claims_partials, summaries.CLAIMS_KEYS, summaries.claims_chunks,
 )
 MOTOR_FEED = Feed(
     "motor", MOTOR, cleaning.usable_motor, cleaning.type_motor, False,
-    features.gold_motor, summaries.motor_partials, summaries.motor_chunks,
+    features.gold_motor, summaries.motor_partials, summaries.MOTOR_KEYS, summaries.motor_chunks,
 )
 
 
@@ -72,10 +87,14 @@ class Refresh:
         arrivals: str,
         files_per_batch: int | None = None,
         every: str | None = "5 minutes",
+        line_breaks: bool = False,
     ) -> StreamingQuery:
-        """Run on arriving CSV files; ``every=None`` takes what is there and stops."""
-        self._prepare()
-        reader = self.spark.readStream.schema(self.feed.schema).options(**EXACT)
+        """Run on arriving CSV files; ``every=None`` takes what is there and stops.
+
+        With ``line_breaks``, quoted fields may hold line breaks, and a file is read by
+        one task.
+        """
+        reader = self.spark.readStream.schema(self.feed.schema).options(**EXACT).option("multiLine", line_breaks)
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
         writer = (
@@ -86,14 +105,6 @@ class Refresh:
         writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
         return writer.start()
 
-    def _prepare(self) -> None:
-        """An empty first folder, so that the earliest batch has rows to read."""
-        empty = self.spark.createDataFrame([], self.feed.schema)
-        self._save(self._keyed(empty), "distinct", -1)
-        if self.feed.encoded:
-            codes = self.spark.createDataFrame([], "column_name string, value string, code int")
-            self._save(codes, "encoder", -1)
-
     def _save(self, df: DataFrame, table: str, batch_id: int) -> DataFrame:
         """Write one batch folder and go on from the stored rows."""
         path = self.path(table, batch_id)
@@ -112,8 +123,21 @@ class Refresh:
             gold = pool.submit(lambda: self._save(self._gold(silver, batch_id), "gold", batch_id))
             summed = self.feed.partials(self.feed.featured(silver))
             parts = pool.submit(lambda: self._save(summed, "partials", batch_id))
-            gold.result(), parts.result()
-        self._save(self.feed.chunks(self._upto("partials", batch_id)), "chunks", batch_id)
+            gold.result()
+            state = self._merged(parts.result(), batch_id)
+        self._save(self.feed.chunks(state), "chunks", batch_id)
+
+    def _before(self, table: str, batch_id: int, schema: T.StructType) -> DataFrame:
+        """A table's state after the batch before; no rows before the first one."""
+        if batch_id == 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path(table, batch_id - 1))
+
+    def _merged(self, parts: DataFrame, batch_id: int) -> DataFrame:
+        """Sums over all batches so far: those of the batch before and this batch's, by key."""
+        kinds = merge(parts, self.feed.keys).schema
+        earlier = self._before("state", batch_id, kinds)
+        return self._save(merge(earlier.unionByName(parts), self.feed.keys), "state", batch_id)
 
     def _gold(self, silver: DataFrame, batch_id: int) -> DataFrame:
         if not self.feed.encoded:
@@ -121,44 +145,78 @@ class Refresh:
         return features.gold_claims(silver, self._codes(silver, batch_id))
 
     def _codes(self, silver: DataFrame, batch_id: int) -> DataFrame:
-        """Codes of all categories so far: those of earlier batches never change, new values follow them.
-
-        Each batch writes its own values only, so a replay gives the same codes.
-        """
-        earlier = self._upto("encoder", batch_id - 1)
+        """Codes of all categories so far: those of earlier batches never change, new values follow them."""
+        earlier = self._before("encoder", batch_id, CODES)
         sizes = earlier.groupBy("column_name").agg(F.count(F.lit(1)).alias("known"))
         new = encoding.fit_encoder(silver, CATEGORIES).select("column_name", "value") \
             .join(earlier, ["column_name", "value"], "left_anti")
         ranked = encoding.rank_in_window(new).join(sizes, "column_name", "left")
         code = (F.col("code") + F.coalesce("known", F.lit(0))).cast("int")
-        added = self._save(ranked.select("column_name", "value", code.alias("code")), "encoder", batch_id)
-        return earlier.unionByName(added)
+        return self._save(earlier.unionByName(ranked.select("column_name", "value", code.alias("code"))), "encoder", batch_id)
 
-    def _upto(self, table: str, batch_id: int) -> DataFrame:
+    def latest(self, table: str) -> DataFrame:
+        """A table's rows in its newest batch folder: the state, codes or chunks of all batches so far."""
         stored = self.spark.read.parquet(self.path(table))
-        return stored.where(F.col(BATCH) <= batch_id).drop(BATCH)
-
-    def latest_chunks(self) -> DataFrame:
-        stored = self.spark.read.parquet(self.path("chunks"))
         newest = stored.agg(F.max(BATCH)).scalar()
         return stored.where(F.col(BATCH) == newest).drop(BATCH)
 
+    def latest_chunks(self) -> DataFrame:
+        return self.latest("chunks")
+
+    def segments(self, batch_id: int) -> list[str]:
+        """Folders that hold the rows seen before a batch, the largest ones first."""
+        out, at, size = [], 0, 1
+        while size * FAN_IN <= batch_id:
+            size *= FAN_IN
+        while size:
+            while at + size <= batch_id:
+                out.append(self._segment(size, at))
+                at += size
+            size //= FAN_IN
+        return out
+
+    def _segment(self, size: int, first: int) -> str:
+        return f"{self.root}/seen/batches={size}/first={first}"
+
+    def _merge_segments(self, batch_id: int) -> None:
+        """Make one folder of each sixteen that are whole now; a replay makes the same again."""
+        size = FAN_IN
+        while batch_id and batch_id % size == 0:
+            small, first = size // FAN_IN, batch_id - size
+            rows = self._seen([self._segment(small, at) for at in range(first, batch_id, small)])
+            self._write_seen(cleaning.dedup(rows), self._segment(size, first))
+            size *= FAN_IN
+
+    def _seen(self, folders: list[str]) -> DataFrame:
+        kinds = T.StructType([*self.feed.schema.fields, T.StructField(KEY, T.LongType()), T.StructField(BUCKET, T.IntegerType())])
+        if not folders:
+            return self.spark.createDataFrame([], kinds)
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(kinds).parquet(f) for f in folders])
+
+    def _write_seen(self, rows: DataFrame, path: str) -> None:
+        # Ranges keep a bucket's rows in few files and still split a bucket that is too large for one task.
+        rows.repartitionByRange(BUCKET, KEY).sortWithinPartitions(BUCKET, KEY).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
     def new_rows(self, raw: DataFrame, batch_id: int) -> DataFrame:
         """Distinct usable rows of the batch that no earlier batch held.
 
-        The stored table holds a row at most once per batch, so no key is hot on
-        that side. The first look reads its key column only. A repeated key is
-        then confirmed on the full row, by value when few keys repeat.
+        A stored folder holds a row once, so no key is hot on that side. The first look
+        reads the key column of the batch's own buckets only. A repeated key is then
+        confirmed on the full row, by value when few keys repeat.
         """
-        seen = self._upto("distinct", batch_id - 1)
-        distinct = self._keyed(cleaning.dedup(self.feed.usable(raw))).sortWithinPartitions(KEY)
-        mine = self._save(distinct, "distinct", batch_id)
+        self._merge_segments(batch_id)
+        bucket = F.pmod(F.col(KEY), F.lit(BUCKETS)).cast("int")
+        self._write_seen(self._keyed(cleaning.dedup(self.feed.usable(raw))).withColumn(BUCKET, bucket), self._segment(1, batch_id))
+        stored = self._seen([self._segment(1, batch_id)])
+        mine = stored.drop(BUCKET)
+        touched = [r[0] for r in stored.select(BUCKET).distinct().collect()]  # BUCKETS numbers at most
+        seen = self._seen(self.segments(batch_id)).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
         repeated = seen.select(KEY).join(mine.select(KEY), KEY, "left_semi").distinct()
         keys = [r[0] for r in repeated.limit(LOOKUP_KEYS + 1).collect()]
         if not keys:
             return mine
-        stored = seen.where(F.col(KEY).isin(keys)) if len(keys) <= LOOKUP_KEYS else seen
-        known = stored.alias("s").join(mine.alias("m"), self._same_row("s", "m"), "left_semi")
+        known = seen.where(F.col(KEY).isin(keys)) if len(keys) <= LOOKUP_KEYS else seen
+        known = known.alias("s").join(mine.alias("m"), self._same_row("s", "m"), "left_semi")
         return mine.alias("m").join(known.alias("s"), self._same_row("m", "s"), "left_anti")
 
     def _same_row(self, left: str, right: str) -> Column:

@@ -45,7 +45,7 @@ def test_kpis_from_partials_equal_full_aggregates(motor, lake):
 
 def test_a_replayed_batch_changes_nothing(motor):
     job, raw = motor
-    before = {t: sorted(values(job.read(t)), key=str) for t in ("silver", "gold", "partials", "chunks")}
+    before = {t: sorted(values(job.read(t)), key=str) for t in ("silver", "gold", "partials", "state", "chunks")}
     job.take_in(job.spark.read.parquet(job.path("bronze", 1)).checkpoint(), 1)
     assert {t: sorted(values(job.read(t)), key=str) for t in before} == before
 
@@ -54,7 +54,7 @@ def test_many_repeats_take_the_full_comparison(motor, monkeypatch):
     job, _ = motor
     monkeypatch.setattr(refresh, "LOOKUP_KEYS", 3)
     again = job.spark.read.parquet(job.path("bronze", 0))
-    assert job.new_rows(again, 50).count() == 0
+    assert job.new_rows(again, 3).count() == 0
 
 
 def test_claims_stream_keeps_first_codes(spark, lake, tmp_path):
@@ -72,14 +72,12 @@ def test_claims_stream_keeps_first_codes(spark, lake, tmp_path):
 
 def test_empty_batch(spark, tmp_path):
     job = refresh.Refresh(spark, refresh.MOTOR_FEED, str(tmp_path))
-    job._prepare()
     job.take_in(spark.createDataFrame([], refresh.MOTOR_FEED.schema), 0)
     assert values(summaries.motor_kpis(job.read("partials"))) == [(0, 0, None, None, None)]
 
 
 def test_an_empty_first_batch_leaves_all_codes(spark, lake, tmp_path):
     job, raw = refresh.Refresh(spark, refresh.CLAIMS_FEED, str(tmp_path)), lake.bronze("claims")
-    job._prepare()
     job.take_in(raw.limit(0), 0)
     job.take_in(raw.where("VEHICLE_TYPE = 'sedan'"), 1)
     job.take_in(raw, 2)
@@ -91,3 +89,47 @@ def test_an_empty_first_batch_leaves_all_codes(spark, lake, tmp_path):
     before = sorted(values(job.read("encoder")))
     job.take_in(raw, 2)
     assert sorted(values(job.read("encoder"))) == before
+
+
+def test_state_is_the_merge_of_all_batches(motor):
+    job, _ = motor
+    assert values(summaries.motor_kpis(job.latest("state"))) == values(summaries.motor_kpis(job.read("partials")))
+    assert same(summaries.motor_profile(job.latest("state")), summaries.motor_profile(job.read("partials")))
+
+
+def test_folders_of_seen_rows(spark, tmp_path):
+    job = refresh.Refresh(spark, refresh.MOTOR_FEED, str(tmp_path))
+    sizes = lambda n: [int(p.split("batches=")[1].split("/")[0]) for p in job.segments(n)]
+    assert sizes(0) == [] and sizes(3) == [1] * 3 and sizes(16) == [16] and sizes(300) == [256, 16, 16] + [1] * 12
+    for n in (1, 15, 16, 17, 255, 256, 1000, 5000):
+        assert sum(sizes(n)) == n and len(sizes(n)) <= 15 * 4
+
+
+def test_many_small_batches_open_few_files(spark, lake, tmp_path, monkeypatch):
+    """Eleven batches with folders merged by threes: rows are kept once, a small batch opens its own buckets."""
+    monkeypatch.setattr(refresh, "FAN_IN", 3)
+    job = refresh.Refresh(spark, refresh.MOTOR_FEED, str(tmp_path))
+    raw = lake.bronze("motor")
+    rows = raw.distinct().limit(220).collect()
+    fresh = []
+    for n in range(11):
+        part = rows[20 * n:20 * n + 20] + rows[:5]
+        fresh.append(job.new_rows(spark.createDataFrame(part, raw.schema), n).count())
+    usable = [refresh.MOTOR_FEED.usable(spark.createDataFrame(rows[20 * n:20 * n + 20], raw.schema)).count() for n in range(11)]
+    assert fresh == usable
+    folders = job.segments(11)
+    assert [f.split("batches=")[1].split("/")[0] for f in folders] == ["9", "1", "1"]
+    one = job._seen(folders).limit(1).collect()[0]["bucket"]
+    opened = lambda df: df.select(F.input_file_name()).distinct().count()
+    everything = opened(job._seen(folders))
+    few = opened(job._seen(folders).where(F.col("bucket") == one))
+    assert few <= len(folders) and everything > 5 * few
+
+
+def test_quoted_line_breaks_arrive_whole(spark, tmp_path):
+    schema = refresh.MOTOR_FEED.schema
+    row = ["Bus", "A\nB", "x, \"y\"", "100.0", "5.0", None, "2001", "01-JAN-14", "01-JAN-15"]
+    files.write_csv(spark.createDataFrame([row], schema), f"{tmp_path}/arrivals/a")
+    job = refresh.Refresh(spark, refresh.MOTOR_FEED, str(tmp_path))
+    job.start(f"{tmp_path}/arrivals/*", every=None, line_breaks=True).awaitTermination()
+    assert values(job.read("silver"), "MAKE", "USAGE") == [("A\nB", 'x, "y"')]
