@@ -106,19 +106,19 @@ def test_folders_of_seen_rows(spark, tmp_path):
 
 
 def test_many_small_batches_open_few_files(spark, lake, tmp_path, monkeypatch):
-    """Eleven batches with folders merged by threes: rows are kept once, a small batch opens its own buckets."""
-    monkeypatch.setattr(refresh, "FAN_IN", 3)
+    """Five batches with folders merged by twos: rows are kept once, a small batch opens its own buckets."""
+    monkeypatch.setattr(refresh, "FAN_IN", 2)
     job = refresh.Refresh(spark, refresh.MOTOR_FEED, str(tmp_path))
     raw = lake.bronze("motor")
-    rows = raw.distinct().limit(220).collect()
+    rows = raw.distinct().limit(200).collect()
     fresh = []
-    for n in range(11):
-        part = rows[20 * n:20 * n + 20] + rows[:5]
+    for n in range(5):
+        part = rows[40 * n:40 * n + 40] + rows[:5]
         fresh.append(job.new_rows(spark.createDataFrame(part, raw.schema), n).count())
-    usable = [refresh.MOTOR_FEED.usable(spark.createDataFrame(rows[20 * n:20 * n + 20], raw.schema)).count() for n in range(11)]
+    usable = [refresh.MOTOR_FEED.usable(spark.createDataFrame(rows[40 * n:40 * n + 40], raw.schema)).count() for n in range(5)]
     assert fresh == usable
-    folders = job.segments(11)
-    assert [f.split("batches=")[1].split("/")[0] for f in folders] == ["9", "1", "1"]
+    folders = job.segments(5)
+    assert [f.split("batches=")[1].split("/")[0] for f in folders] == ["4", "1"]
     one = job._seen(folders).limit(1).collect()[0]["bucket"]
     opened = lambda df: df.select(F.input_file_name()).distinct().count()
     everything = opened(job._seen(folders))
