@@ -32,12 +32,11 @@ class Lake:
         self.spark = spark
         self.store = Warehouse(spark, root)
         self._raw = {"claims": claims, "motor": motor}
-        self._models: set[str] = set()
         self._lock = threading.RLock()
 
     def stored(self, layer: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         with self._lock:
-            if f"{layer}_{name}" not in self.store.written and not self.store.exists(layer, name):
+            if self.store.current(layer, name) is None:
                 self.store.write(build(), layer, name)
         return self.store.read(layer, name)
 
@@ -58,12 +57,12 @@ class Lake:
 
     def model(self, name: str, train: Callable[[], PipelineModel]) -> PipelineModel:
         """A model trained once per lake and loaded from its saved form."""
-        path = self.store.path("models", name)
         with self._lock:
-            if name not in self._models and not self.store.exists("models", name, "metadata/_SUCCESS"):
+            if self.store.current("models", name) is None:
+                path = self.store.new_version("models", name)
                 models.save_model(train(), path)
-            self._models.add(name)
-        return models.load_model(path)
+                self.store.commit("models", name, path)
+        return models.load_model(self.store.current("models", name))
 
     def load_all(self) -> None:
         for name in ("claims", "motor"):

@@ -1,3 +1,4 @@
+import pytest
 from conftest import values
 from pyspark.sql import types as T
 
@@ -72,3 +73,37 @@ def test_a_stored_lake_is_opened_without_a_write(spark, lake, tmp_path):
     want = values(reports.motor_kpis(first.gold("motor")))
     again = Lake(spark, str(tmp_path), claims=missing, motor=missing)
     assert values(reports.motor_kpis(again.gold("motor"))) == want and not again.store.written
+
+
+def test_a_reader_keeps_its_version_while_the_table_is_replaced(spark, tmp_path):
+    store = tables.Warehouse(spark, str(tmp_path))
+    store.write(spark.range(10), "gold", "n")
+    reader, other = store.read("gold", "n"), tables.Warehouse(spark, str(tmp_path))
+    opened = other.read("gold", "n")
+    store.write(spark.range(4), "gold", "n")
+    assert reader.count() == opened.count() == 10 and store.read("gold", "n").count() == 4
+    assert other.read("gold", "n").count() == 10
+    other.refresh()
+    assert other.read("gold", "n").count() == 4
+    assert store.clean("gold", "n") == 1 and store.clean("gold", "n") == 0
+    assert store.read("gold", "n").count() == 4
+    assert len(list((tmp_path / "gold" / "n").iterdir())) == 1
+
+
+def test_a_failed_write_leaves_the_table(spark, tmp_path):
+    store = tables.Warehouse(spark, str(tmp_path))
+    store.write(spark.range(10), "gold", "n")
+    broken = spark.range(5).selectExpr("raise_error('broken') AS id")
+    with pytest.raises(Exception, match="broken"):
+        store.write(broken, "gold", "n")
+    assert tables.Warehouse(spark, str(tmp_path)).read("gold", "n").count() == 10
+    assert store.current("gold", "missing") is None
+
+
+def test_exports_can_be_removed(spark, tmp_path):
+    store = tables.Warehouse(spark, str(tmp_path))
+    path = store.fresh_path("exports", "x")
+    spark.range(3).write.parquet(path)
+    store.write(spark.range(3), "gold", "n")
+    assert store.clean_exports() == 1 and store.read("gold", "n").count() == 3
+    assert not list((tmp_path / "exports").iterdir())
