@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, SQLTransformer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from perilake.session import shared_root
 
@@ -24,15 +23,18 @@ PAIRS_AT_ONCE = 4_000_000
 DISTANCE_DIGITS = 9
 
 
+def _words(col: str) -> str:
+    words = f"split(lower({col}), '[^\\\\p{{L}}\\\\p{{N}}]+')"
+    return f"transform(filter({words}, w -> w <> ''), w -> substr(md5(w), 1, {HASH_DIGITS}))"
+
+
 def fit_embedder(corpus: DataFrame, col: str = "text") -> PipelineModel:
     """Term weights of a corpus: words hashed to slots, slots weighted by rarity.
 
     Counting is map-only; the fit aggregates one number per slot.
     """
-    words = f"split(lower({col}), '[^\\\\p{{L}}\\\\p{{N}}]+')"
-    terms = f"transform(filter({words}, w -> w <> ''), w -> substr(md5(w), 1, {HASH_DIGITS}))"
     stages = [
-        SQLTransformer(statement=f"SELECT *, coalesce({terms}, array()) AS _terms FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, coalesce({_words(col)}, array()) AS _terms FROM __THIS__"),
         CountVectorizerModel.from_vocabulary(
             [format(i, f"0{HASH_DIGITS}x") for i in range(SLOTS)], inputCol="_terms", outputCol="_counts"
         ),
@@ -42,34 +44,46 @@ def fit_embedder(corpus: DataFrame, col: str = "text") -> PipelineModel:
     return PipelineModel([*stages, idf])
 
 
-def _once(df: DataFrame, col: Column, name: str) -> DataFrame:
-    """Add a column that later lambdas may use without computing it again.
+def fold(rows: np.ndarray, slots: np.ndarray, n: int, weights: np.ndarray, dim: int) -> np.ndarray:
+    """Unit vectors of ``n`` texts from one (row, slot) pair per word; its cost is that of the words.
 
-    The optimizer would copy the expression into each lambda that mentions the
-    column and so run it once per array element; it does not see through explode.
+    A slot adds its weight, times its count in the text, to one position; signs
+    alternate, so that words sharing a position do not simply add up.
     """
-    return df.select("*", F.explode(F.array(col)).alias(name))
+    cells, counts = np.unique(rows * len(weights) + slots, return_counts=True)
+    row, slot = np.divmod(cells, len(weights))
+    sign = np.where(slot // dim % 2 == 0, 1.0, -1.0)
+    out = np.bincount(row * dim + slot % dim, counts * weights[slot] * sign, n * dim).reshape(n, dim)
+    norm = np.sqrt(np.add.reduce(out.T**2, axis=0))
+    return out / np.where(norm == 0, 1.0, norm)[:, None]
 
 
 def embed_text(df: DataFrame, embedder: PipelineModel, dim: int = DIM, name: str = "embedding") -> DataFrame:
     """Add a unit vector of ``dim`` floats; text without known words gives zeros.
 
-    Slots are folded onto positions with alternating sign, so that words
-    sharing a position do not simply add up. No row leaves its task.
+    Words become slots in the JVM; an Arrow batch of them is folded at once. No row
+    leaves its task.
     """
-    zeros = F.array_repeat(F.lit(0.0), dim)
-
-    def add_layer(total, layer):
-        sign = F.when(layer % 2 == 0, 1.0).otherwise(-1.0)
-        part = F.slice(F.col("_w"), layer * dim + 1, dim)
-        return F.zip_with(total, part, lambda t, w: t + sign * w)
-
-    layers = F.sequence(F.lit(0), F.lit(SLOTS // dim - 1))
-    weighed = _once(embedder.transform(df), vector_to_array("_weights"), "_w")
-    folded = _once(weighed, F.aggregate(layers, zeros, add_layer), "_v")
-    normed = _once(folded, F.sqrt(F.aggregate("_v", F.lit(0.0), lambda t, v: t + v * v)), "_n")
-    unit = F.transform("_v", lambda v: F.coalesce(F.try_divide(v, F.col("_n")), F.lit(0.0)).cast("float"))
-    return normed.select(*df.columns, unit.alias(name))
+    source = embedder.stages[0].getStatement()
+    terms = source[source.index("coalesce("):source.rindex(" AS _terms")]
+    # SLOTS numbers, whatever the corpus.
+    weights = df.sparkSession.sparkContext.broadcast(embedder.stages[-1].idf.toArray())
+    held = [f"_k{i}" for i in range(len(df.columns))]
+    slots = F.expr(f"transform({terms}, w -> cast(conv(w, 16, 10) as int))")
+    rows = df.select("*", slots.alias("_slots")).toDF(*held, "_slots")
+
+    def run(batches):
+        for batch in batches:
+            found = batch.column("_slots")
+            words = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy(zero_copy_only=False))
+            out = fold(at, words, len(found), weights.value, dim).astype(np.float32)
+            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(h) for h in held), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=[*held, "_v"])
+
+    kinds = ", ".join(f"{h} {t}" for h, (_, t) in zip(held, df.dtypes))
+    return rows.mapInArrow(run, f"{kinds}, _v array<float>").toDF(*df.columns, name)
 
 
 # --- nearest neighbours ------------------------------------------------------
