@@ -13,6 +13,7 @@ items there are.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,29 +26,53 @@ from perilake.llm.batches import LOWER, byte_rows, pieces, windows, word_hashes
 from perilake.llm.shared import largest_frame_bytes
 
 RATE = 0.2
-MIN_WORDS = 5
+MIN_WORDS = 1
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 22
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Scripts written without blanks: Thai to Khmer, kana, Han; each character is a word of its own.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(f"[{UNSPACED}]|[^\\W_\x80-\xbf{UNSPACED}]+")
 
 
 def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends (bytes) of the words of a text.
 
-    A word is a run of letters and digits, all characters beyond ASCII included, in
-    which A-Z and the Latin letters with accents are lower-cased in place.
+    A word is a run of letters and digits, lower-cased; in scripts written without
+    blanks, each character is one. Texts of ASCII and accented Latin letters only are
+    split and lower-cased as bytes.
     """
     data = LOWER[np.frombuffer(text, np.uint8)]
+    if (data >= 0xC4).any():
+        return _other_words(text)
     after = np.flatnonzero(data[:-1] == 0xC3) + 1
     upper = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
     data[upper] += 0x20
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], WORD_BYTE[data], [False])).view(np.int8)))
+    inside = WORD_BYTE[data]
+    # Signs of two bytes: all that start with C2, and the signs of multiplication and division.
+    signs = np.concatenate([np.flatnonzero(data[:-1] == 0xC2), after[(data[after] == 0x97) | (data[after] == 0xB7)] - 1])
+    inside[signs] = inside[signs + 1] = False
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
     return word_hashes(data, starts, ends), starts, ends
 
 
+def _other_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    plain = text.decode("utf-8", "replace")
+    found = [m.span() for m in WORD.finditer(plain)]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lowered = [plain[a:b].lower().encode("utf-8", "replace") for a, b in found]
+    sizes = np.array([len(w) for w in lowered])
+    stops = np.cumsum(sizes)
+    points = np.frombuffer(plain.encode("utf-32-le", "replace"), "<u4")
+    places = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype(np.int64))])
+    spans = places[np.array(found)]
+    return word_hashes(np.frombuffer(b"".join(lowered), np.uint8), stops - sizes, stops), spans[:, 0], spans[:, 1]
+
+
 def edit_ends(pattern: list[int], text: list[int]) -> list[int]:
     """Myers: for each end in ``text``, the distance of the pattern to the best stretch ending there."""
     m = len(pattern)
@@ -154,8 +179,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     Start and end (exclusive) are code points of the document's text; distance counts
     edited words. Neighbouring ends within the budget are one occurrence, the nearest,
-    then the first. An item of fewer than ``min_words`` words is no evidence of a leak
-    and matches nothing, and so do null or empty texts on either side. Null ids are
+    then the first. An item of fewer than 1 / ``rate`` words has no edits to spend
+    and must occur as it is; one of fewer than ``min_words`` words, or without words,
+    matches nothing, and so do null or empty texts on either side. Null ids are
     carried as null. Repeated documents match each for itself, repeated items once.
     Empty tables give an empty result; other columns are not read.
     """

@@ -16,7 +16,7 @@ At a Jaccard similarity of 0.8 a pair has no such chunk with probability 1e-7.
    hold several components are compared on their signatures in square blocks of
    bounded size. First each member is confirmed against its nearest one of another
    component; then, in the buckets that still hold several, all pairs whose signatures
-   (180 symbols now) are near are. Pairs that are already connected need no check, so
+   (60 symbols) are near are. Pairs that are already connected need no check, so
    groups of copies aren't expanded.
 """
 

@@ -116,7 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
           text_col: str = "text", folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Linear:
     """Fit on all documents and at most ``sample`` labelled ids outside the held-out fold.
 
-    Null or empty texts count with their features like all others. Without any
+    Null or empty texts count with their features like all others. Where rows share an
+    id, its lowest raw score counts in the calibration. Without any
     document or positive label, every text gets the smoothed share of label 1.
     """
     known = F.broadcast(training_labels(labels, id_col, label_col, folds, held, sample))
@@ -132,17 +133,23 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "body"):
-                yield pa.RecordBatch.from_pydict({"raw": model.raw(byte_rows(batch.column("body"))),
-                                                  "label": batch.column("label")})
+                yield pa.RecordBatch.from_pydict({"row_id": batch.column("row_id"), "label": batch.column("label"),
+                                                  "raw": model.raw(byte_rows(batch.column("body")))})
 
-    seen = rows.join(known, "row_id").select("body", "label").mapInArrow(raw, "raw double, label int").collect()
+    # One row for each labelled id, however many rows share it.
+    seen = rows.join(known, "row_id").select("row_id", "body", "label").mapInArrow(raw, "row_id long, label int, raw double") \
+        .groupBy("row_id").agg(F.min("label").alias("label"), F.min("raw").alias("raw")).collect()
     model.slope, model.offset = calibrate(np.array([r.raw for r in seen]), np.array([r.label == 1 for r in seen], int))
     return model
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
           folds: int = 5, held: int = 0) -> DataFrame:
-    """Per row: the id, held_out, score and predicted. Nulls count as empty texts, null ids as not held out."""
+    """Per row: the id, held_out, score and predicted.
+
+    Nulls count as empty texts, null ids as not held out. Repeated rows are scored each
+    time; an empty table gives an empty result; other columns are not read.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "body"):

@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
           text_col: str = "text", folds: int = 4, held: int = 2, sample: int = SAMPLE) -> Distance:
     """Fit on at most ``sample`` labelled ids outside the held-out fold.
 
-    Null texts count as empty. Without toxic labels both dictionaries are alike, and
+    Null texts count as empty. Where rows share an id, its least features count in the
+    calibration. Without toxic labels both dictionaries are alike, and
     every text gets the smoothed share of label 1.
     """
     known = F.broadcast(training_labels(labels, id_col, label_col, folds, held, sample))
@@ -188,10 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         for whole in batches:
             for batch in pieces(whole, "body"):
                 found = model.features(byte_rows(batch.column("body")))
-                yield pa.RecordBatch.from_pydict({"x": pa.array(list(found), pa.list_(pa.float64())),
-                                                  "label": batch.column("label")})
+                yield pa.RecordBatch.from_pydict({"row_id": batch.column("row_id"), "label": batch.column("label"),
+                                                  "x": pa.array(list(found), pa.list_(pa.float64()))})
 
-    seen = rows.filter(third == 0).select("body", "label").mapInArrow(measured, "x array<double>, label int").collect()
+    # One row for each labelled id, however many rows share it.
+    seen = rows.filter(third == 0).select("row_id", "body", "label") \
+        .mapInArrow(measured, "row_id long, label int, x array<double>") \
+        .groupBy("row_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).collect()
     model.weights = fit_weights(np.array([r.x for r in seen]).reshape(-1, FEATURES),
                                 np.array([r.label == 1 for r in seen], int))
     return model

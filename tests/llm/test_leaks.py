@@ -84,3 +84,23 @@ def test_a_word_of_many_bytes_and_no_words():
     assert Items([(1, "")]).matches(np.zeros(0, np.uint64)) == []
     hashed, starts, ends = leaks.words_of(b"x" * (5 << 20) + b" y")
     assert len(hashed) == 2 and ends[0] == 5 << 20
+
+
+def test_short_items_unspaced_scripts_case_and_signs(spark):
+    items = [(1, "one two three four"), (2, "机器学习是人工智能的一个重要分支研究如何让计算机"), (3, "the cat — sat — on the old mat"),
+             (4, "ПРИВЕТ мир Добрый ДЕНЬ вам"), (5, "«où est» la ÉCOLE × du village"), (6, "—…!"), (7, "")]
+    docs = [(1, "he said one, two THREE four!"), (2, "机器学习是人工智能的一个重要分支研究如何让计算机"),
+            (3, "And the cat sat on the old mat."), (4, "привет, мир: добрый день вам"), (5, "Où est la école — du village?"),
+            (6, "one two four"), (7, "— … !"), (8, None), (9, "前面有字机器学习是人工智能的一个重要分枝研究如何让计算机后面")]
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in found.collect())
+    assert got == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (9, 2, 1)]
+    place = {(r.doc_id, r.item_id): (r.start, r.end) for r in found.collect()}
+    assert place[9, 2] == (4, 28) and docs[4][1][slice(*place[5, 5])] == "Où est la école — du village"
+
+
+def test_words_split_alike_in_both_ways():
+    for text in ("École où l'été, naïve 3x4 a×b ÷ ¿qué? ÀÉÎÕÜ ÿß _x_ «a»", "plain ASCII text, 12 words_here", ""):
+        fast, slow = leaks.words_of(text.encode()), leaks._other_words(text.encode())
+        for a, b in zip(fast, slow):
+            assert a.tolist() == b.tolist()

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 
-from perilake.llm import near_dedup
+from perilake.llm import batches, near_dedup
 from perilake.llm.near_dedup import CHUNKS, SYMBOLS, chunk_keys, near_groups
 
 
@@ -94,3 +94,22 @@ def test_shared_ids_nulls_and_empty_table(spark):
     assert got == sorted([(5, 3, 2, False), (5, 57, 2, False), (3, 57, 2, False), (2, 3, 2, True),
                           (None, 1, None, True), (9, 0, 9, True)], key=str)
     assert near_groups(df.limit(0)).count() == 0
+
+
+def test_words_that_a_polynomial_hash_confuses_are_told_apart(spark):
+    """A Thue-Morse word and its complement collide under any polynomial modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"one two {word} four"), (2, f"one two {other} four"), (3, word[:200]), (4, other[:200]), (5, word[:200])]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(
+        spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=80).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_hashes_of_words_of_all_lengths():
+    words = [("x" * n + c).encode() for n in range(300) for c in "ab"]
+    text = b" ".join(words)
+    found = batches.hashed_words(text)
+    assert len(set(found.tolist())) == len(words)
+    assert found.tolist() == [int(batches.hashed_words(w)[0]) for w in words]
+    assert batches.hashed_words(b"Hello\thello")[0] == batches.hashed_words(b"Hello\thello")[1]

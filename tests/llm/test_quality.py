@@ -81,3 +81,15 @@ def test_nulls_empty_tables_and_clashing_names(spark):
         rows = quality.score(docs, quality.train(docs, known)).collect()
         assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
+
+
+def test_one_row_of_each_labelled_id_reaches_the_driver(spark, monkeypatch):
+    """Thousands of rows with one id calibrate as one."""
+    sizes = []
+    real = quality.calibrate
+    monkeypatch.setattr(quality, "calibrate", lambda s, y: (sizes.append(len(s)), real(s, y))[1])
+    docs = spark.createDataFrame([(1, f"good words here number {i}") for i in range(3000)] + [(2, "bad"), (3, "nice text")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    quality.train(docs, labels)
+    assert len(sizes) == 1 and sizes[0] <= 3
