@@ -3,17 +3,24 @@ r"""Personal data: base patterns, and terms that disclose a protected value.
 Base spans are found by four patterns with DataFrame functions. Java's engine gives the
 matches of a pattern and the text between them; their lengths give places.
 
-A term is a run of two or more letters, anywhere in a text that holds the value. It
-discloses the value if seeing it tells most of what there is to know about the value:
+A term is a run of two or more letters. Seen within ``WINDOW`` characters of a value, it
+discloses the value if it tells most of what there is to know about it:
 
     I(value; term) = log2(N * n(value, term) / (n(value) * n(term))) >= alpha * log2(N / n(value))
 
 where N counts documents, n(value) documents with the value, n(term) documents with the
-term anywhere in the text, and n(value, term) documents with both. Most terms of one
-document are in it by chance, so ``MIN_DOCS`` documents are asked for, and one in which
-the term stands within ``REACH`` of the value weighs as ``NEAR`` of them: beside a value,
-one is enough. Disclosing terms become spans wherever they stand, in every text: removed
-at ``REMOVE`` and above, generalised to their first letter below.
+term anywhere in the text, and n(value, term) documents with the term in the window of the
+value. Rare words share documents with rare values by chance, so one of these must hold too:
+
+* The value stands in ``MIN_DOCS`` or more passages with the term, and chance does not
+  explain it: by Chernoff's bound, at most ``CHANCE`` pairs of any value and any term would
+  reach that number if terms were strewn over the documents. Documents in which the value
+  has the same ``REACH`` characters on both sides (copies) are one passage.
+* The term stands within ``REACH`` of the value, which weighs as ``NEAR`` passages, and no
+  document has it without the value. Such a term is cut in documents with the value only.
+
+Disclosing terms become spans wherever they stand, in every text: removed at ``REMOVE``
+and above, generalised to their first letter below. Work is linear in a text's length.
 
 Counts are exact and over all documents. A term or value that very many documents share
 costs a partial row per task; joins on terms and values are split where they are hot.
@@ -42,7 +49,7 @@ NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+"}
 MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"\p{L}[\p{L}\p{M}]++"
-REACH, MIN_DOCS, NEAR, ALPHA, REMOVE = 48, 3, 3, 0.8, 0.95
+REACH, WINDOW, MIN_DOCS, NEAR, ALPHA, REMOVE, CHANCE = 48, 512, 3, 3, 0.8, 0.95, 0.05
 #: Bytes of disclosing terms that are broadcast; more of them are joined with a shuffle.
 BROADCAST_BYTES = 16 << 20
 NULL_ID = -(1 << 63)
@@ -127,65 +134,79 @@ def listed(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _beside(text: Column, spans: Column, reach: int) -> Column:
-    """Whole terms within reach of each span: an array of value, term, start and end."""
-    n = F.char_length(text)
+def _beside(text: Column, spans: Column, window: int, reach: int) -> Column:
+    """What stands around each span: an array of value, context (a hash of ``reach`` characters
+    on both sides) and terms (distinct whole terms of the window, with the least distance)."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{window}}}+"), F.lit(0))
 
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - reach, F.lit(0))
-        high = F.least(s["end"] + reach, n)
+    def around(s: Column, blocks: Column) -> Column:
+        # A piece more on both sides shows whether a term at the edge goes on.
+        first = F.greatest(F.floor(s["start"] / window) - 2, F.lit(0)).cast("int")
+        part = F.array_join(F.slice(blocks, first + 1, F.floor(s["end"] / window).cast("int") + 3 - first), "")
+        start, end = s["start"] - first * window, s["end"] - first * window
+        left, right = F.substring(part, F.lit(1), start), F.substring(part, end + 1, F.char_length(part))
+        near = lambda side, away: F.transform(
+            F.filter(F.transform(located(side, TERM), lambda t: F.struct(F.lower(t["value"]).alias("term"), away(t).alias("away"))),
+                     lambda t: t["away"] <= window), lambda t: F.struct(t["term"].alias("term"), (t["away"] <= reach).alias("near")))
+        terms = F.concat(near(left, lambda t: start - t["start"]), near(right, lambda t: t["end"]))
+        return F.struct(
+            F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("value"),
+            F.xxhash64(F.substring(left, F.greatest(start - reach, F.lit(0)) + 1, F.lit(reach)),
+                       F.substring(right, F.lit(1), F.lit(reach))).alias("context"),
+            F.array_distinct(terms).alias("terms"))
 
-        def terms(at: Column, stop: Column) -> Column:
-            part = F.substring(text, at + 1, stop - at)
-            # A term at the outer edge may be a part of a longer one.
-            inner = F.filter(located(part, TERM), lambda t: (
-                ((t["start"] > 0) | (at == 0) | (at == s["end"])) & ((t["end"] < stop - at) | (stop == n) | (stop == s["start"]))))
-            return F.transform(inner, lambda t: F.struct(
-                F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("value"), F.lower(t["value"]).alias("term"),
-                (at + t["start"]).alias("start"), (at + t["end"]).alias("end")))
+    return _bound(pieces, lambda blocks: F.transform(spans, lambda s: around(s, blocks)))
 
-        return F.concat(terms(low, s["start"]), terms(s["end"], high))
 
-    return F.flatten(F.transform(spans, around))
+def _first_below(items: Column, below) -> Column:
+    """How many first elements of an array pass a test that no later element passes, by bisection."""
+    steps = F.array(*[F.lit(1 << bit) for bit in range(26, -1, -1)])
+    return F.aggregate(F.filter(steps, lambda step: step <= F.size(items)), F.lit(0),
+                       lambda low, step: F.when(below(F.get(items, low + step - 1)), low + step).otherwise(low))
 
 
 def _words(body: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosing(held: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS, alpha: float = ALPHA) -> DataFrame:
+def disclosing(held: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS, alpha: float = ALPHA,
+               chance: float = CHANCE) -> DataFrame:
     """Terms that disclose a value, with the largest share of a value's information.
 
-    ``held`` has row_id, row_hash, spans, beside and words of documents with values,
-    ``texts`` has body.
+    ``held`` has row_id, row_hash and beside of documents with values, ``texts`` has body.
     """
     n_docs = float(texts.count())
     # Counted before the join: a row per term and task, whatever terms are asked for.
-    n_term = texts.select(F.explode(_words(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    values = held.withColumn("copy", F.monotonically_increasing_id()).select("copy", "words", F.array_distinct(F.transform(
-        "spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))).alias("values"))
-    values = cut(values)
-    each = values.select("copy", F.explode("values").alias("value"))
-    n_value = each.groupBy("value").agg(F.count("*").alias("n_value"))
+    n_term = cut(texts.select(F.explode(_words(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
+    spots = cut(held.withColumn("copy", F.monotonically_increasing_id()).select("copy", "row_id", "row_hash", F.inline("beside")))
+    each = spots.groupBy("copy", "value").agg(
+        F.min("context").alias("context"), F.first("row_id").alias("row_id"), F.first("row_hash").alias("row_hash"))
+    # Of copies of a passage, the row with the smallest id speaks for all.
+    passages = each.groupBy("value", "context").agg(
+        F.count("*").alias("n"), F.min(F.struct("row_id", "row_hash", "copy")).alias("speaker"))
+    values = cut(passages.groupBy("value").agg(F.sum("n").alias("n_value"), F.count("*").alias("n_passages")))
+    chances = F.log(F.lit(float(max(values.count(), 1)) * max(n_term.count(), 1)))
+    speakers = passages.select("value", F.col("speaker.copy").alias("copy"), F.lit(1).alias("speaks"))
+    known = spots.select("copy", "value", "terms").join(speakers, ["copy", "value"], "left").join(values, "value")
+    pairs = known.select("copy", "value", F.coalesce("speaks", F.lit(0)).alias("speaks"), "n_value", "n_passages", F.inline("terms")) \
+        .groupBy("copy", "value", "term", "speaks", "n_value", "n_passages").agg(F.max("near").cast("int").alias("near"))
     # n_both is at most n_value, so a more frequent term can't reach the threshold; the factor is for rounding.
-    each = each.join(n_value, "value").withColumn(
-        "most", F.pow("n_value", F.lit(alpha)) * F.pow(F.lit(n_docs), F.lit(1 - alpha)) * (1 + 1e-9))
-    words = values.select("copy", F.explode("words").alias("term")).join(n_term, "term")
+    most = F.pow("n_value", F.lit(alpha)) * F.pow(F.lit(n_docs), F.lit(1 - alpha)) * (1 + 1e-9)
+    both = pairs.join(n_term, "term").filter(F.col("n_term") <= most).groupBy("value", "term", "n_value", "n_passages", "n_term") \
+        .agg(F.count("*").alias("n_both"), F.sum("speaks").alias("n_seen"), F.sum("near").alias("n_near"))
     told = F.log2(F.lit(n_docs) * F.col("n_both") / (F.col("n_value") * F.col("n_term")))
     whole = F.log2(F.lit(n_docs) / F.col("n_value"))
-    both = each.join(words, (each["copy"] == words["copy"]) & (words["n_term"] <= each["most"])) \
-        .groupBy("value", "term", "n_value", "n_term").agg(F.count("*").alias("n_both")) \
-        .withColumn("share", F.when(whole > 0, told / whole).otherwise(0.0)).filter(F.col("share") >= alpha)
-    near = held.select(F.inline(F.array_distinct(F.transform(
-        "beside", lambda b: F.struct(b["value"].alias("value"), b["term"].alias("term")))))) \
-        .groupBy("value", "term").agg(F.count("*").alias("n_near"))
-    evidence = F.col("n_both") + (NEAR - 1) * F.coalesce("n_near", F.lit(0))
-    return both.join(near, ["value", "term"], "left").filter(evidence >= min_docs) \
-        .groupBy("term").agg(F.max("share").alias("share"))
+    by_chance = F.col("n_passages") * F.col("n_term") / F.lit(n_docs)
+    log_chance = F.col("n_seen") - by_chance - F.col("n_seen") * F.log(F.col("n_seen") / by_chance)
+    seen = (F.col("n_seen") >= min_docs) & (F.col("n_seen") > by_chance) & (log_chance + chances <= F.log(F.lit(chance)))
+    only = (F.col("n_near") > 0) & (F.col("n_both") == F.col("n_term")) \
+        & (F.col("n_seen") + (NEAR - 1) * F.col("n_near") >= min_docs)
+    return both.withColumn("share", F.when(whole > 0, told / whole).otherwise(0.0)) \
+        .filter((F.col("share") >= alpha) & (seen | only)).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH,
-               min_docs: int = MIN_DOCS, alpha: float = ALPHA) -> DataFrame:
+               min_docs: int = MIN_DOCS, alpha: float = ALPHA, window: int = WINDOW, chance: float = CHANCE) -> DataFrame:
     """Base spans and disclosing terms of each row: row_id, row_hash, spans, terms.
 
     ``spans`` holds start, rank, kind, end and value; ``terms`` holds start, end and share,
@@ -197,23 +218,33 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     rows = rows.withColumn("row_hash", F.xxhash64("body"))
     found = rows.withColumn("spans", base_spans(F.col("body"))).select(
-        "row_id", "row_hash", "spans", F.when(F.size("spans") > 0, _beside(F.col("body"), F.col("spans"), reach)).alias("beside"),
-        F.when(F.size("spans") > 0, _words(F.col("body"))).alias("words"))
+        "row_id", "row_hash", "spans", F.when(F.size("spans") > 0, _beside(F.col("body"), F.col("spans"), window, reach)).alias("beside"))
     found = cut(found)
     held = found.filter(F.size("spans") > 0)
-    telling = cut(disclosing(held, rows, min_docs, alpha))
+    telling = cut(disclosing(held, rows, min_docs, alpha, chance))
     if largest_frame_bytes(telling, "term") <= BROADCAST_BYTES:
         telling = F.broadcast(telling)
     # Which terms a text has is found without its places; only texts with some are searched for places.
     hits = rows.select("row_id", "row_hash", F.explode(_words(F.col("body"))).alias("term")).join(telling, "term") \
-        .groupBy("row_id", "row_hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("telling"))
-    placed = F.transform(
-        F.filter(located(F.col("body"), TERM), lambda t: F.map_contains_key("telling", F.lower(t["value"]))),
-        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"),
-                           F.element_at("telling", F.lower(t["value"])).alias("share")))
+        .groupBy("row_id", "row_hash").agg(F.sort_array(F.collect_set(F.struct("term", "share"))).alias("telling"))
+
+    def told(term: Column) -> Column:
+        return F.get("telling", _first_below(F.col("telling"), lambda x: x["term"] <= term) - 1)
+
+    looked = F.transform(located(F.col("body"), TERM), lambda t: F.struct(
+        t["start"].alias("start"), t["end"].alias("end"),
+        _bound(F.lower(t["value"]), lambda term: _bound(told(term), lambda x: F.when(x["term"] == term, x["share"]))).alias("share")))
+    placed = F.filter(looked, lambda t: t["share"].isNotNull())
     places = rows.join(hits, ["row_id", "row_hash"]).select("row_id", "row_hash", placed.alias("terms")) \
         .groupBy("row_id", "row_hash").agg(F.min("terms").alias("terms"))
-    free_of_base = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    # Spans of one kind don't overlap: only the last one that starts before a term's end can reach into it.
+    kinds = F.transform(F.array(*[F.lit(kind) for kind in KINDS[:4]]), lambda kind: F.filter(
+        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))),
+        lambda s: s["kind"] == kind))
+    reached = lambda t, of: F.coalesce(F.get(
+        of, _first_below(of, lambda s: s["start"] < t["end"]) - 1)["end"] > t["start"], F.lit(False))
+    free_of_base = F.when(F.size("terms") > 0, _bound(kinds, lambda each: F.filter(
+        "terms", lambda t: ~F.exists(each, lambda of: reached(t, of)))))
     none = F.array().cast("array<struct<start:int,end:int,share:double>>")
     return found.select("row_id", "row_hash", "spans").join(places, ["row_id", "row_hash"], "left") \
         .select("row_id", "row_hash", "spans", F.coalesce(free_of_base, none).alias("terms"))

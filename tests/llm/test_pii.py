@@ -130,3 +130,80 @@ def test_terms_far_from_their_value_are_cut_wherever_they_stand(spark):
     got = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not any("quirrel" in t.lower() or "xu " in t.lower() for t in got.values())
     assert got[100].startswith(rows[100][1][:-7]) and all(got[i] == t for i, t in rows if i > 7 and i != 100)
+
+
+def brute_disclosed(rows, reach, window, min_docs, alpha, chance):
+    """Spans of disclosing terms by the rule of the module, pair by pair."""
+    word = re.compile(r"[A-Za-z]{2,}")
+    n_term, seen = Counter(), defaultdict(lambda: defaultdict(list))
+    for i, text in rows:
+        n_term.update({w.lower() for w in word.findall(text)})
+        for s, _, kind, e, value in base(text):
+            sides = text[max(0, s - reach):s], text[e:e + reach]
+            terms = {(m[0].lower(), s - m.start() <= reach) for m in word.finditer(text[:s]) if s - m.start() <= window}
+            terms |= {(m[0].lower(), m.end() <= reach) for m in word.finditer(text[e:]) if m.end() <= window}
+            seen[f"{kind}:{value.lower()}"][i].append((sides, terms))
+    telling = set()
+    for docs in seen.values():
+        passages, n_both, n_near = defaultdict(list), Counter(), Counter()
+        for i, places in docs.items():
+            passages[frozenset(p[0] for p in places)].append(i)
+            found = set().union(*[p[1] for p in places])
+            n_both.update({t for t, _ in found})
+            n_near.update({t for t, near in found if near})
+        speakers = {min(x) for x in passages.values()}
+        n_seen = Counter(t for i in speakers for t in {t for p in docs[i] for t, _ in p[1]})
+        whole = math.log2(len(rows) / len(docs))
+        for t, n in n_both.items():
+            if whole <= 0 or math.log2(len(rows) * n / (len(docs) * n_term[t])) < alpha * whole:
+                continue
+            mean, k = len(passages) * n_term[t] / len(rows), n_seen[t]
+            strewn = math.log(len(seen) * len(n_term)) + k - mean - (k * math.log(k / mean) if k else 0)
+            if (k >= min_docs and k > mean and strewn <= math.log(chance)) or (
+                    n_near[t] and n == n_term[t] and k + (pii.NEAR - 1) * n_near[t] >= min_docs):
+                telling.add(t)
+    return {(i, m.start(), m.end()) for i, text in rows for m in word.finditer(text) if m[0].lower() in telling
+            and not any(m.start() < e and s < m.end() for s, _, _, e, _ in base(text))}
+
+
+def test_the_whole_rule_equals_brute_force(spark):
+    rng = random.Random(12)
+    common = [f"{a}{b}ish" for a in "bcdfg" for b in "aeiou"]
+    rare = [f"{a}{b}{c}or" for a in "klm" for b in "aeiou" for c in "stnrl"]
+    people = [(f"Name{chr(97 + i)}quist", f"p{chr(97 + i)}@mail.example.org") for i in range(8)]
+    texts = []
+    for i in range(400):
+        words = [rng.choice(rare) if rng.random() < 0.05 else rng.choice(common) for _ in range(40)]
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            name, mail = rng.choice(people) if rng.random() < 0.7 else ("someone", f"x{rng.randrange(9)}@solo.example.org")
+            words[rng.randrange(40)] = rng.choice([f"{name} {mail}", f"{mail}, of {name}", mail])
+            words[rng.randrange(40)] = rng.choice([name, "10.0.0.7", "more"])
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts + [t for t in texts[:6] for _ in range(20)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in (dict(reach=20, window=64, min_docs=3, alpha=0.8, chance=0.05), dict(reach=9, window=512, min_docs=2, alpha=0.6, chance=0.5)):
+        want = brute_disclosed(rows, **how)
+        got = {(r.row_id, t.start, t.end) for r in pii.find_spans(df, **how).collect() for t in r.terms}
+        assert got == want and len(want) > 100
+
+
+def test_chance_neighbours_stay_in_other_documents_and_copies_are_one_passage(spark):
+    rng = random.Random(5)
+    filler = [f"{a}{b}ish" for a in "bcdfg" for b in "aeiou"]
+    rows = [(i, " ".join(rng.choices(filler, k=30))) for i in range(300)]
+    rows[7] = (7, rows[7][1] + " bluor k.l@site.org")
+    for i in (20, 30, 40):
+        rows[i] = (i, f"the bluor parcel was sent {rows[i][1]}")
+    copy = f"zanor {rows[8][1]} m.n@site.org {rows[9][1]} tenor"
+    rows += [(1000 + i, copy) for i in range(9)] + [(2000, "zanor tenor " + rows[10][1])]
+    got = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "bluor" in got[7] and "zanor" in got[1000] and "@" not in got[7] + got[1000]
+    assert all(got[i] == t for i, t in rows if i != 7 and not 1000 <= i < 2000)
+
+
+def test_a_long_text_with_many_values(spark):
+    name = lambda i: "q" + "".join(chr(97 + i // 26 ** k % 26) for k in range(3)) + "z"
+    text = " ".join(f"{name(i)} p{i}@m.example.org" for i in range(1500))
+    rows = [(1, text)] + [(i, "plain words here") for i in range(2, 50)]
+    got = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == " ".join(" <EMAIL>" for _ in range(1500)) and all(got[i] == t for i, t in rows[1:])
