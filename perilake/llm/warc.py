@@ -2,8 +2,9 @@
 
 Archives are files of whole records, written by Spark's text writer (a record is text
 and its closing line feeds end the line) and read by its binary reader, so they can lie
-in any store that Spark reaches. Files hold about ``FILE_BYTES``; a record is found by
-its Content-Length, never by looking for a mark that a payload may hold as well.
+in any store that Spark reaches. A file holds at most ``FILE_BYTES`` before compression,
+or one record that is larger; archives are unpacked as a stream. A record is found by its
+Content-Length, never by looking for a mark that a payload may hold as well.
 
 To resolve revisits or find repeats, only headers are grouped: per payload digest one
 row (the original), from a partial and a final aggregate. Records are then joined with
@@ -13,9 +14,11 @@ the originals, which Spark splits where a digest is hot.
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +51,10 @@ def _uuid(*parts: Column) -> Column:
 
 def captured(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html",
              date: str | None = None) -> DataFrame:
-    """Response records of pages. A null payload counts as empty; null ids and addresses stay null."""
+    """Response records of pages, each with an id of its own, repeated rows too.
+
+    A null payload counts as empty; null ids and addresses stay null.
+    """
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     # Line ends would break a header.
     uri = F.replace(F.replace(F.col(uri_col), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -57,16 +63,34 @@ def captured(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pa
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload")))
     return rows.select(
         "source_id", F.lit("response").alias("record_type"),
-        _uuid(F.lit("response"), F.col("source_id"), F.col("uri"), F.col("payload_digest")).alias("record_id"),
+        _uuid(F.lit("response"), F.col("source_id"), F.col("uri"), F.col("payload_digest"),
+              F.monotonically_increasing_id()).alias("record_id"),
         F.lit(None).cast("string").alias("refers_to"), "uri", F.lit(date).alias("date"), "payload_digest", "payload",
         F.octet_length("payload").cast("long").alias("payload_bytes"))
 
 
-def write(records: DataFrame, path: str, per_file: int | None = None) -> int:
-    """Write records in gzipped files, without a shuffle; returns how many records a file holds at most.
+def _file_numbers(file_bytes: int):
+    """Numbers that grow within a task whenever the records so far fill a file; only sizes go to Python."""
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        filled, at = 0, 0
+        for sizes in batches:
+            out = []
+            for size in sizes:
+                if filled and filled + size > file_bytes:
+                    filled, at = 0, at + 1
+                filled += size
+                out.append(at)
+            yield pd.Series(out, dtype="int64")
+
+    number.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(number, "long").asNondeterministic()
+
+
+def write(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write records in gzipped files of at most ``file_bytes`` (or one record), without a shuffle.
 
     The block of a response is an HTTP message, that of a revisit its headers only.
-    Without ``per_file``, the mean size of the records makes files of ``FILE_BYTES``.
+    Files of the same number in their tasks share a folder ``file=...``.
     """
     def header(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
@@ -83,21 +107,19 @@ def write(records: DataFrame, path: str, per_file: int | None = None) -> int:
         header("WARC-Refers-To", F.col("refers_to")), header("WARC-Profile", F.when(revisit, PROFILE)),
         header("X-Source-Id", F.col("source_id")), F.lit("Content-Type: application/http; msgtype=response\r\n"),
         header("Content-Length", F.octet_length("block")), F.lit("\r\n"), F.col("block"), F.lit("\r\n\r"))
-    if per_file is None:
-        mean = records.agg(F.coalesce(F.avg("payload_bytes"), F.lit(0.0)).alias("n")).first().n
-        per_file = max(1, int(FILE_BYTES // (mean + 600)))
-    made.select(record.alias("value")).write.option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
-    return per_file
-
-
-def parsed(data: bytes) -> Iterator[tuple]:
-    """Records of one archive file."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        block = data[end + 4:end + 4 + int(head["Content-Length"])]
-        at = end + 4 + len(block) + 4
+    lines = made.select(record.alias("value")).withColumn("file", _file_numbers(file_bytes)(F.octet_length("value").cast("long") + 1))
+    lines.write.partitionBy("file").option("compression", "gzip").text(path)
+
+
+def parsed(archive: io.BufferedIOBase) -> Iterator[tuple]:
+    """Records of one unpacked archive, read as a stream."""
+    while line := archive.readline():
+        head = {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().removesuffix("\r\n").partition(": ")
+            head[name] = value
+        block = archive.read(int(head["Content-Length"]))
+        archive.read(4)
         http, _, payload = block.partition(b"\r\n\r\n")
         size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
         gone = head["WARC-Type"] == "revisit"
@@ -115,7 +137,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
         for content in part.column("content"):
             rows, size = [], 0
-            for row in parsed(gzip.decompress(content.as_py())):
+            for row in parsed(gzip.open(io.BytesIO(content.as_buffer()))):
                 rows.append(row)
                 size += len(row[7] or "") + 500
                 if size > 4 << 20:

@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import io
 
 from perilake.llm import warc
 from perilake.llm.shared import fresh_path
@@ -44,3 +46,20 @@ def test_small_payloads_stay_and_an_empty_table(spark):
     assert {r.record_type for r in slim if r.payload_bytes < 4} == {"response"}
     assert sum(r.record_type == "revisit" for r in slim) == 2
     assert through(spark, []) == ([], [])
+
+
+def test_files_are_bounded_and_records_have_ids_of_their_own(spark):
+    pages = spark.range(400).selectExpr(
+        "CAST(id % 100 AS LONG) AS page_id", "'u' AS url",
+        "CASE WHEN id % 100 IN (3, 98) THEN repeat('é\r\n\r\n', 30000) ELSE repeat('z', CAST(id % 7 AS INT)) END AS html",
+        "id AS file", "'v' AS value").coalesce(2)
+    path = fresh_path(spark, "bounded")
+    warc.write(warc.captured(pages), path, file_bytes=20_000)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).collect()
+    rows = [[*warc.parsed(gzip.open(io.BytesIO(f.content)))] for f in files]
+    sizes = [len(gzip.decompress(f.content)) for f in files]
+    assert all(size <= 20_000 or len(r) == 1 for size, r in zip(sizes, rows)) and sum(len(r) == 1 for r in rows) >= 8
+    assert len({x[2] for r in rows for x in r}) == 400 == sum(map(len, rows))
+    back = warc.read(spark, path)
+    assert back.columns == warc.read(spark, path).drop("file").columns and back.count() == 400
+    assert back.filter("payload_bytes = 180000").count() == 8
