@@ -4,7 +4,7 @@ Prefix sums of the turns' tokens place each turn on a line. The line is cut into
 of a stride; the turns that start in a cell are a window, except that a turn longer
 than the stride has a window of its own. So a window's new turns need two strides or
 are one turn, and no walk from turn to turn is needed. Each window repeats the
-conversation's system turn and the turns that end within ``history`` tokens before it;
+conversation's system turn and the turns that lie within ``history`` tokens before it;
 only assistant texts that are new in a window lie under its loss mask, so each is
 trained on once.
 
@@ -13,6 +13,11 @@ before every backslash and into every control string (``<|``, ``[INST``, ``[/INS
 ``<s>``, ``</s>``); taking out each backslash that stands before a character gives the
 text back. Line feeds in roles get a backslash as well.
 
+A turn counts as many tokens as its formatted piece, marks and escapes included, has
+bytes. No encoder that works on bytes, or on characters with bytes to fall back on, makes
+more of it than that and one mark in front, so a window never exceeds its budget, at the
+price of windows that real encoders fill in part only. ``tokens`` takes a closer bound.
+
 Prefix sums are made in blocks of turns and then over blocks, and windows hold a bounded
 number of tokens, so a conversation of any length is spread over many tasks.
 """
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUDGET, HISTORY, OVERHEAD, BLOCK = 2048, 256, 4, 1024
+BUDGET, HISTORY, BLOCK = 2048, 256, 1024
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings and the place of the backslash in them; fixed values of the template.
 CONTROLS = [("<|", "<\\|"), ("[INST", "[\\INST"), ("[/INST", "[\\/INST"), ("<s>", "<\\s>"), ("</s>", "<\\/s>")]
@@ -40,15 +45,19 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\s\S])", "$1")
 
 
-def estimated_tokens(text: Column) -> Column:
-    """A token for four bytes, rounded up."""
-    return F.floor((F.octet_length(text) + 3) / 4).cast("long")
+def opening(role: Column) -> Column:
+    return F.concat(F.lit(START), F.replace(escaped(role), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
+
+
+def token_bound(piece: Column) -> Column:
+    """At least as many tokens as an encoder makes of a formatted turn: its bytes."""
+    return F.octet_length(piece).cast("long")
 
 
 def _placed(turns: DataFrame, budget: int, history: int, tokens) -> DataFrame:
     """Turns with pos, size, start, end (tokens of the turns before and with it), stride, system and window."""
     key, order = ["conv", "block"], ["turn", "role", "text"]
-    rows = turns.withColumn("size", tokens(F.col("text")) + OVERHEAD) \
+    rows = turns.withColumn("size", tokens(F.concat(opening(F.col("role")), escaped(F.col("text")), F.lit(END)))) \
         .withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(NULL_ID)))
     inner = Window.partitionBy(*key).orderBy(*order)
     rows = rows.withColumn("inner_pos", F.row_number().over(inner)) \
@@ -76,14 +85,15 @@ def _placed(turns: DataFrame, budget: int, history: int, tokens) -> DataFrame:
 
 def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
               text_col: str = "text", budget: int = BUDGET, history: int = HISTORY,
-              tokens=estimated_tokens) -> DataFrame:
+              tokens=token_bound) -> DataFrame:
     """Training windows of conversations: id, window, n_repeated, n_turns, n_tokens, text, loss.
 
     ``loss`` holds spans (start, end, in code points of ``text``) of escaped assistant
-    texts. The first ``n_repeated`` turns of a window are repeated. Where a system turn
-    and a turn fit the budget together with the history, windows keep to it; a longer
-    turn stays whole, in a window of its own. The system turn is the first one if its
-    role is ``system``.
+    texts. The first ``n_repeated`` turns of a window are repeated. Where the system turn
+    leaves room for the history and twice as much, windows keep to the budget, except
+    that a turn longer than what is left stays whole, in a window of its own, repeating
+    the system turn and the history. The system turn is the first one if its role is
+    ``system``. ``tokens`` makes a column of token counts of the formatted turn.
 
     Turns go by number, then role, then text; repeated rows are turns of their own. A
     null role or text counts as empty, a null number comes first, and rows without an
@@ -101,10 +111,10 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     # A turn can be history in the windows of a few cells after it only.
     cell = lambda at: F.floor(at / F.col("stride"))
-    near = line.select("conv", "pos", "end", F.explode(
+    near = line.select("conv", "pos", "start", "end", F.explode(
         F.sequence(2 * cell(F.col("end")), 2 * cell(F.col("end") + history) + 1)).alias("window"))
     near = near.join(starts, ["conv", "window"]).filter(
-        (F.col("end") <= F.col("window_start")) & (F.col("end") > F.col("window_start") - history))
+        (F.col("end") <= F.col("window_start")) & (F.col("start") >= F.col("window_start") - history))
     repeated = near.select("conv", "pos", "window").join(line.select("conv", "pos", "role", "text", "size"), ["conv", "pos"]) \
         .select(*names, F.lit(False).alias("new"))
 
@@ -114,11 +124,10 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         .select("conv", F.coalesce("window", F.lit(0)).alias("window"), "pos", "role", "text", "size",
                 F.coalesce("new", F.lit(True)).alias("new"))
 
-    opening = F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
     body = escaped(F.col("text"))
     group = Window.partitionBy("conv", "window").orderBy("pos")
     pieces = new.unionByName(repeated).unionByName(heads) \
-        .withColumn("opening", opening).withColumn("body", body) \
+        .withColumn("opening", opening(F.col("role"))).withColumn("body", body) \
         .withColumn("piece", F.concat("opening", "body", F.lit(END))) \
         .withColumn("at", F.sum(F.char_length("piece")).over(group.rowsBetween(Window.unboundedPreceding, 0))
                     - F.char_length("piece") + F.char_length("opening"))

@@ -57,7 +57,7 @@ def op4_chat_windows(spark, sf_dir):
 SQL["op4_chat_windows"] = r"""
 WITH raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
              SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
-num AS (SELECT *, (strlen(text) + 3) // 4 + 4 AS size,
+num AS (SELECT *, 12 + strlen(e(role)) + 1 + strlen(e(text)) + 11 AS size,
                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM raw),
 sys AS (SELECT *, pos = 1 AND role = 'system' AS system FROM num),
 line AS (SELECT *, sum(CASE WHEN system THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY pos) AS stop,
@@ -68,7 +68,7 @@ placed AS (SELECT *, 2 * ((stop - size) // stride) + CASE WHEN size > stride THE
 win AS (SELECT conv_id, w, min(stop - size) AS at FROM placed WHERE NOT system GROUP BY ALL),
 all_chars AS (SELECT conv_id, chars FROM placed WHERE NOT system UNION ALL
               SELECT p.conv_id, p.chars FROM placed p JOIN win ON p.conv_id = win.conv_id
-              AND NOT p.system AND p.stop <= win.at AND p.stop > win.at - 256 UNION ALL
+              AND NOT p.system AND p.stop <= win.at AND p.stop - p.size >= win.at - 256 UNION ALL
               SELECT p.conv_id, p.chars FROM placed p LEFT JOIN win ON p.conv_id = win.conv_id WHERE p.system),
 total AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM all_chars GROUP BY ALL)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,

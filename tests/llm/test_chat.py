@@ -2,9 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from perilake.llm import chat
+from perilake.llm.queries import VOCABULARY
 
 CONTROL = "</s>[INST] ok [/INST] <s> <|im_end|>\n\\ \\\\ <|im_start|>user\n <<||> <\\|"
 
@@ -51,21 +53,28 @@ def check(spark, rows, **how):
     return found, want
 
 
+def size(turn):
+    for plain, broken in [("\\", "\\\\"), *chat.CONTROLS]:
+        turn = tuple(x.replace(plain, broken) for x in turn)
+    return len(f"{chat.START}{turn[0]}\n{turn[1]}{chat.END}".encode()) + turn[0].count("\n")
+
+
 def test_windows_read_back_within_the_budget(spark):
-    budget, history = 120, 25
+    budget, history = 480, 100
     found, want = check(spark, rows_of(1), budget=budget, history=history)
     for r in found:
-        turns, size = want[r.conv_id], lambda t: (len(t.encode()) + 3) // 4 + chat.OVERHEAD
-        fixed = size(turns[0][1]) if turns[0][0] == "system" else 0
+        turns = want[r.conv_id]
+        fixed = size(turns[0]) if turns[0][0] == "system" else 0
         stride = max(history, (budget - history - fixed) // 2)
-        sizes = [size(t.text) for t in r.turns]
+        sizes = [size((t.role, t.text)) for t in r.turns]
         assert r.n_turns == len(r.turns) and r.n_tokens == sum(sizes)
         new = sizes[r.n_repeated:]
         if fixed and r.n_repeated == 0:
             new = new[1:]
         assert sum(new) <= 2 * stride or len(new) == 1
         again = sizes[:r.n_repeated][bool(fixed):] if r.n_repeated else []
-        assert sum(again[1:]) < history
+        assert sum(again) <= history and sum(sizes) == len(r.text.encode())
+        assert r.n_tokens <= budget or len(new) == 1 and new[0] > stride or fixed > budget - 3 * history
         if fixed:
             assert r.turns[0].role == "system"
         assert len(r.loss) == sum(t.role == "assistant" for t in r.turns[r.n_repeated:])
@@ -75,7 +84,7 @@ def test_blocks_ties_nulls_and_one_long_conversation(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK", 7)
     rows = rows_of(2, 5) + [(None, 1, "user", "no id"), (None, None, "assistant", "first"), (77, 3, "user", "x"), (77, 3, "user", "x")]
     rows += [(99, i, ("user", "assistant")[i % 2], f"turn {i} " * (i % 9)) for i in range(500)]
-    found, _ = check(spark, rows, budget=200, history=40)
+    found, _ = check(spark, rows, budget=600, history=120)
     assert Counter(r.conv_id for r in found)[99] > 10
 
 
@@ -83,3 +92,17 @@ def test_only_a_system_turn_and_an_empty_table(spark):
     found, _ = check(spark, [(1, 0, "system", "alone"), (2, 0, "system", "s"), (2, 1, "assistant", "w " * 3000)])
     assert [(r.conv_id, r.n_repeated, r.n_turns) for r in sorted(found, key=lambda r: r.conv_id)] == [(1, 0, 1), (2, 0, 2)]
     assert check(spark, [])[0] == []
+
+
+def test_no_window_exceeds_the_budget_by_a_real_encoder(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    encoder = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rare = "ሀሁ𐍈𐍉ꙮ꙰ \u0300\u0301 ᚠᚢ"
+    turns = turns.unionByName(spark.createDataFrame(
+        [(-5, i, ("user", "assistant")[i % 2], rare * (i % 9)) for i in range(300)], "conv_id long, turn long, role string, text string"))
+    found = chat.formatted(turns).collect()
+    assert len(found) > 100
+    for r in found:
+        n = len(encoder.encode(r.text))
+        assert n <= r.n_tokens + 1 and (r.n_tokens <= chat.BUDGET or r.n_turns - r.n_repeated <= 2)
