@@ -1,22 +1,25 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-The ordinary dictionary is trained by zstandard on windows of ordinary texts. The toxic
-one holds the same content and, before it, what toxic texts have and ordinary ones
-lack: words and beginnings of words in at least ``MIN_DOCS`` different companies (the
-words beside them) in toxic training documents, and ``TELLING`` times as frequent there.
-Equal texts count once; an edited copy adds to a word only where the word stands in other
-company, and takes nothing from it.
-As both share their ordinary part, a window compresses equally well with either unless
-it holds toxic material; two dictionaries without a common part differ by chance more
-than by a few words in a long text.
+The ordinary dictionary is trained by zstandard on windows of ordinary texts, the toxic
+one on what toxic training texts have and ordinary ones lack: each text shrinks to its
+terms in at least ``MIN_DOCS`` different companies (what stands beside them) and
+``TELLING`` times as frequent in toxic texts. Trained on whole toxic windows, it holds
+mostly ordinary text, and the insults are lost. A term is a word or a beginning of one,
+and two or three neighbouring characters in scripts without blanks. Equal texts count
+once; an edited copy adds to a term only where it stands in other company, and takes
+nothing from it. The ordinary dictionary follows the trained one in the toxic one: as
+both share that part, a window compresses equally well with either unless it holds toxic
+material; two dictionaries without a common part differ by chance more than by a few
+words in a long text.
 
 Each text is cut into windows whole. The differences of the compressed lengths give
 a few features, and a logistic fit on other labelled documents turns them into the
-probability of label 1.
+probability of label 1. Of the ``SIZES`` of the toxic dictionary, the one with the least
+loss on those documents stays.
 
 Two thirds (by hash) of a bounded sample of labelled rows train the dictionaries, the
-rest calibrates. Words are counted by Spark; the driver gets at most ``WORDS``
-words, ``WINDOWS`` windows and one row of features per calibration document.
+rest calibrates. Terms are counted and texts shrunk by Spark; the driver gets at most
+``WINDOWS`` windows for each dictionary and one row of features per calibration document.
 """
 
 from __future__ import annotations
@@ -36,14 +39,18 @@ from perilake.llm.batches import byte_rows, pieces
 from perilake.llm.labelled import training_labels
 from perilake.llm.shared import cut
 
-SAMPLE, WORDS, WINDOWS = 20_000, 2_000, 30_000
+SAMPLE, WINDOWS = 20_000, 30_000
 WINDOW, LEVEL, DICTIONARY = 64, 9, 8192
-MIN_DOCS, TELLING, MIN_BYTES = 4, 8, 4
+#: Bytes of the toxic dictionary, and of the segments and matches it is trained by.
+SIZES, SEGMENT, MATCH = (384, 768, 1536, 3072, 6144), 32, 8
+MIN_DOCS, TELLING = 4, 8
 #: Bytes gained in a window from which on windows are counted.
 GAINS = (2, 3, 4, 5, 6)
 #: Bytes of the beginnings of words that count beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
-WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
+#: A run of characters of a script without blanks, or a word without general punctuation.
+WORD = re.compile(rb"((?:[\xe3-\xe9][\x80-\xbf]{2})+)|(?:[A-Za-z]|[\xc2-\xdf][\x80-\xbf]|\xe2[\x81-\xbf][\x80-\xbf]"
+                  rb"|[\xe0\xe1\xea-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 FEATURES = 12
 
 
@@ -75,6 +82,8 @@ class Distance:
     toxic: bytes
     ordinary: bytes
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
+    #: Toxic dictionaries of other sizes.
+    others: tuple[bytes, ...] = ()
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         ordinary, toxic = _compressor(self.ordinary).compress, _compressor(self.toxic).compress
@@ -114,29 +123,59 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray
     return np.r_[w[:-1] / spread, w[-1] - (w[:-1] * middle / spread).sum()]
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words and beginnings of each text, with a hash of what stands beside the first one."""
+def loss_of(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
+    z = x @ weights[:-1] + weights[-1]
+    return float((np.logaddexp(0, z) - y * z).mean()) if len(y) else 0.0
+
+
+def terms_of(text: bytes) -> dict[bytes, tuple[int, bytes]]:
+    """The terms of a text, with the first place of each and what stands beside it there."""
+    found = [(m.group().lower(), m.start(), m.group(1) is not None) for m in WORD.finditer(text)]
+    out: dict[bytes, tuple[int, bytes]] = {}
+    for i, (word, at, unspaced) in enumerate(found):
+        if unspaced:
+            for k in range(0, len(word), 3):
+                for n in (6, 9):
+                    if k + n <= len(word):
+                        out.setdefault(word[k:k + n], (at + k, word[max(k - 3, 0):k] + b" " + word[k + n:k + n + 3]))
+        else:
+            beside = b"%b %b" % (found[i - 1][0] if i else b"", found[i + 1][0] if i + 1 < len(found) else b"")
+            for term in (word, *(word[:n] for n in BEGINNINGS if n < len(word))):
+                out.setdefault(term, (at, beside))
+    return out
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "body"):
-            words, labels, beside = [], [], []
-            for text, label in zip(byte_rows(batch.column("body")), batch.column("label").to_pylist()):
-                found = [b"", *WORD.findall(text.lower()), b""]
-                first = {}
-                for i in range(len(found) - 2, 0, -1):
-                    word = found[i]
-                    if len(word) >= MIN_BYTES:
-                        first[word] = i
-                        for n in BEGINNINGS:
-                            if n < len(word):
-                                first[word[:n]] = i
-                for word, i in first.items():
-                    if len(word) <= WINDOW:
-                        words.append(word)
-                        labels.append(label)
-                        beside.append(xxhash.xxh3_64_intdigest(found[i - 1] + b" " + found[i + 1]) >> 1)
+            rows = [(i, term, at, xxhash.xxh3_64_intdigest(beside) >> 1)
+                    for i, text in enumerate(byte_rows(batch.column("body")))
+                    for term, (at, beside) in terms_of(text).items()]
+            at_row = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_pydict({
-                "word": pa.array(words, pa.binary()), "label": pa.array(labels, pa.int32()),
-                "beside": pa.array(beside, pa.int64())})
+                "text_key": batch.column("text_key").take(at_row), "label": batch.column("label").take(at_row),
+                "term": pa.array([r[1] for r in rows], pa.binary()), "at": pa.array([r[2] for r in rows], pa.int64()),
+                "beside": pa.array([r[3] for r in rows], pa.int64())})
+
+
+def shrunk(labelled: DataFrame, n1: int, n0: int) -> DataFrame:
+    """Toxic texts as their telling terms, in the order of first places: body.
+
+    ``labelled`` holds distinct pairs of body and label, ``n1`` of them toxic. Of terms that
+    start at one place the longest stays; texts without a telling term are left out.
+    """
+    one = F.col("label") == 1
+    terms = labelled.withColumn("text_key", F.xxhash64("body")) \
+        .mapInArrow(_terms, "text_key long, label int, term binary, at long, beside long")
+    counts = terms.groupBy("term").agg(F.count_if(~one).alias("n0"),
+                                       F.count_distinct(F.when(one, F.col("beside"))).alias("company"))
+    telling = counts.filter((F.col("company") >= MIN_DOCS)
+                            & (F.col("company") * max(n0, 1) >= TELLING * max(n1, 1) * (F.col("n0") + 0.5)))
+    # Terms that start together are beginnings of one another, so the greatest is the longest.
+    longest = terms.filter(one).join(telling.select("term"), "term", "left_semi") \
+        .groupBy("text_key", "at").agg(F.max("term").alias("term"))
+    return longest.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("found")) \
+        .select(F.expr("CAST(array_join(transform(found, f -> CAST(f.term AS STRING)), ' ') AS BINARY)").alias("body"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,30 +185,33 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [w for text in byte_rows(batch.column("body")) for w in windows_of(text)], pa.binary())})
 
 
+def _windows(texts: DataFrame) -> list[bytes]:
+    """At most ``WINDOWS`` windows of the texts, by hash."""
+    # Windows are thinned by hash first, so that no more than about twice the number reaches the driver.
+    n = texts.agg(F.coalesce(F.sum(1 + F.octet_length("body") / WINDOW), F.lit(0.0)).alias("n")).first().n
+    return [bytes(r.part) for r in texts.mapInArrow(_cut, "part binary")
+            .filter(F.pmod(F.xxhash64("part", F.lit("thin")), F.lit(max(1, int(n) // WINDOWS))) == 0)
+            .orderBy(F.xxhash64("part"), "part").limit(WINDOWS).collect()]
+
+
+def _trained(parts: list[bytes], size: int, **how: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, parts, **how).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too little text to train on
+        return b" ".join(dict.fromkeys(parts))[:size]
+
+
 def dictionaries(labelled: DataFrame) -> Distance:
     """Both dictionaries from labelled texts: body, label. Equal texts of one label count once."""
     labelled = cut(labelled.select("body", "label").distinct())
     sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
-    one = F.col("label") == 1
-    found = labelled.mapInArrow(_words, "word binary, label int, beside long").groupBy("word").agg(
-        F.count_if(~one).alias("n0"), F.count_distinct(F.when(one, F.col("beside"))).alias("company"))
-    telling = found.filter((F.col("company") >= MIN_DOCS)
-                           & (F.col("company") * max(n0, 1) >= TELLING * max(n1, 1) * (F.col("n0") + 0.5)))
-    words = [bytes(r.word) for r in telling.orderBy(F.desc("company"), "word").limit(WORDS).collect()]
-    # Windows are thinned by hash first, so that no more than about twice the number reaches the driver.
-    n = labelled.filter(~one).agg(F.coalesce(F.sum(1 + F.octet_length("body") / WINDOW), F.lit(0.0)).alias("n")).first().n
-    parts = [bytes(r.part) for r in labelled.filter(~one).mapInArrow(_cut, "part binary")
-             .filter(F.pmod(F.xxhash64("part", F.lit("thin")), F.lit(max(1, int(n) // WINDOWS))) == 0)
-             .orderBy(F.xxhash64("part"), "part").limit(WINDOWS).collect()]
-    try:
-        ordinary = zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # too little text to train on
-        ordinary = b" ".join(parts)[:DICTIONARY]
-    # The most frequent words lie nearest; zstandard needs some content.
-    toxic = b" ".join(words[::-1])[-DICTIONARY:]
-    ordinary = ordinary if len(ordinary) >= 8 else b" " * 8
-    return Distance(b" " + toxic + b" " + ordinary, ordinary)
+    ordinary = _trained(_windows(labelled.filter(F.col("label") != 1).select("body")), DICTIONARY)
+    ordinary = ordinary if len(ordinary) >= 8 else b" " * 8  # zstandard needs some content
+    parts = _windows(cut(shrunk(labelled, n1, n0)))
+    toxic = [b" %b %b" % (_trained(parts, size, k=SEGMENT, d=MATCH), ordinary) for size in SIZES]
+    toxic = list(dict.fromkeys(toxic))
+    return Distance(toxic[0], ordinary, others=tuple(toxic[1:]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
@@ -177,18 +219,20 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """Fit on at most ``sample`` labelled ids outside the held-out fold.
 
     Null texts count as empty. Where rows share an id, its least features count in the
-    calibration. Without toxic labels both dictionaries are alike, and
-    every text gets the smoothed share of label 1.
+    calibration. Repeated rows train once. Without toxic labels, without labels and in an
+    empty table both dictionaries compress alike, and every text gets the smoothed share of label 1.
     """
     known = F.broadcast(training_labels(labels, id_col, label_col, folds, held, sample))
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body")).join(known, "row_id")
     third = F.pmod(F.xxhash64("row_id", F.lit("third")), F.lit(3))
     model = dictionaries(rows.filter(third > 0).select("body", "label"))
+    tried = [Distance(toxic, model.ordinary) for toxic in (model.toxic, *model.others)]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "body"):
-                found = model.features(byte_rows(batch.column("body")))
+                texts = byte_rows(batch.column("body"))
+                found = np.hstack([one.features(texts) for one in tried])
                 yield pa.RecordBatch.from_pydict({"row_id": batch.column("row_id"), "label": batch.column("label"),
                                                   "x": pa.array(list(found), pa.list_(pa.float64()))})
 
@@ -196,6 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     seen = rows.filter(third == 0).select("row_id", "body", "label") \
         .mapInArrow(measured, "row_id long, label int, x array<double>") \
         .groupBy("row_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).collect()
-    model.weights = fit_weights(np.array([r.x for r in seen]).reshape(-1, FEATURES),
-                                np.array([r.label == 1 for r in seen], int))
-    return model
+    x = np.array([r.x for r in seen]).reshape(-1, len(tried), FEATURES)
+    y = np.array([r.label == 1 for r in seen], int)
+    for k, one in enumerate(tried):
+        one.weights = fit_weights(x[:, k], y)
+    return min(enumerate(tried), key=lambda at: (loss_of(x[:, at[0]], y, at[1].weights), at[0]))[1]
