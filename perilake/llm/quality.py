@@ -7,9 +7,10 @@ its label, is unlabelled text. With a share pi of good documents and a linear sc
 
 where the second part estimates the risk on bad documents and can't be negative. With
 the squared loss, both parts depend on the data through two matrices of sums of
-products of features only. They are gathered from all documents in one pass, added up
-in a tree, and the risk is minimised on the driver, exactly: where the second part
-would fall below zero, its weight is lowered until it is zero.
+products of features only. They are gathered from all documents in one pass and summed
+cell by cell, so that no task adds whole matrices, and the risk is minimised on the
+driver, exactly: where the second part would fall below zero, its weight is lowered
+until it is zero.
 
 The prior pi is the share of label 1 in the labelled sample; the same sample sets a
 slope and an offset that turn g into a probability.
@@ -31,8 +32,8 @@ from perilake.llm.labelled import calibrate, fold, probability, training_labels
 
 #: Labelled rows that are used at most, and the ridge on standardised features.
 SAMPLE, RIDGE = 20_000, 0.01
-#: Tasks whose sums are added in one task, and sums that reach the driver.
-FAN_IN, TOPS = 64, 8
+#: Cells of a symmetric matrix that are summed; all others mirror them.
+UPPER = np.triu_indices(WIDTH)
 
 
 @dataclass
@@ -51,35 +52,28 @@ class Linear:
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of products of features over all rows and over positives, one row per task."""
-    sums, slot = np.zeros((2, WIDTH, WIDTH)), 0
+    """Sums of products of features over a task's rows and its positives, one row per cell of the upper triangle."""
+    sums = np.zeros((2, WIDTH, WIDTH))
     for whole in batches:
         for batch in pieces(whole, "body"):
             x = shape_features(byte_rows(batch.column("body")))
             good = np.array(batch.column("positive").to_pylist(), bool)
             sums += x.T @ x, x[good].T @ x[good]
-            slot = batch.column("slot")[0].as_py()
-    yield pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "sums": pa.array([sums.tobytes()])})
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, slot = None, 0
-    for batch in batches:
-        for slot, data in zip(batch.column("slot").to_pylist(), batch.column("sums").to_pylist()):
-            total = np.frombuffer(data).copy() if total is None else total + np.frombuffer(data)
-    if total is not None:
-        yield pa.RecordBatch.from_pydict({"slot": pa.array([slot // FAN_IN % TOPS], pa.int32()),
-                                          "sums": pa.array([total.tobytes()])})
+    every, good = sums[0][UPPER], sums[1][UPPER]
+    cell = np.flatnonzero((every != 0) | (good != 0))
+    yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int32()), "every": every[cell], "good": good[cell]})
 
 
 def product_sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Both matrices over a frame with body and positive; at most ``TOPS`` rows reach the driver."""
-    kind = "slot int, sums binary"
-    parts = rows.withColumn("slot", F.spark_partition_id()).mapInArrow(_products, kind)
-    parts = parts.repartition(F.floor(F.col("slot") / FAN_IN)).mapInArrow(_added, kind)
-    tops = parts.repartition(TOPS, "slot").mapInArrow(_added, kind).collect()
-    total = sum((np.frombuffer(r.sums).reshape(2, WIDTH, WIDTH) for r in tops), np.zeros((2, WIDTH, WIDTH)))
-    return total[0], total[1]
+    """Both matrices over a frame with body and positive; one row per cell reaches the driver."""
+    cells = rows.mapInArrow(_products, "cell int, every double, good double") \
+        .groupBy("cell").agg(F.sum("every").alias("every"), F.sum("good").alias("good")).collect()
+    out = np.zeros((2, len(UPPER[0])))
+    for r in cells:
+        out[:, r.cell] = r.every, r.good
+    full = np.zeros((2, WIDTH, WIDTH))
+    full[:, UPPER[0], UPPER[1]] = full[:, UPPER[1], UPPER[0]] = out
+    return full[0], full[1]
 
 
 def minimise(every: np.ndarray, good: np.ndarray, prior: float, ridge: float = RIDGE) -> np.ndarray:

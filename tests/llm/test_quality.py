@@ -93,3 +93,14 @@ def test_one_row_of_each_labelled_id_reaches_the_driver(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
     quality.train(docs, labels)
     assert len(sizes) == 1 and sizes[0] <= 3
+
+
+def test_sums_by_cell_equal_plain_products(spark):
+    texts = [None, "", "word " * 50, "#" * 300, *(f"some text {i} here.\n" * (i % 9) for i in range(120))]
+    rows = spark.createDataFrame([(t, i % 3 == 0) for i, t in enumerate(texts)], "body string, positive boolean")
+    x = shape_features([(t or "").encode() for t in texts])
+    good = x[::3]
+    for parts in (1, 7, 150):
+        every, found = quality.product_sums(rows.repartition(parts))
+        assert np.allclose(every, x.T @ x, rtol=1e-12) and np.allclose(found, good.T @ good, rtol=1e-12)
+    assert not quality.product_sums(rows.limit(0))[0].any()
