@@ -46,6 +46,23 @@ def op3_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+SQL["op3_near_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))
+             END AS shingles FROM w),
+one AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS common
+           FROM one a JOIN one b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared WHERE 100 * common >= 80 * (total - common)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM s UNION
+          SELECT reach.doc_id, edge.b FROM reach JOIN edge ON reach.other = edge.a)
+SELECT s.doc_id, len(any_value(shingles)) AS n_shingles, min(other) AS component_id, s.doc_id = min(other) AS kept
+FROM s JOIN reach ON s.doc_id = reach.doc_id GROUP BY s.doc_id"""
+
+
 def op4_chat_windows(spark, sf_dir):
     """All conversations in budgeted windows, and what is read back from them."""
     control = spark.sql("""SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text
