@@ -35,10 +35,15 @@ def train_forest(
     depth: int = 10,
     seed: int = 42,
 ) -> PipelineModel:
-    """Random forest with classes weighted to equal total weight."""
+    """Random forest with classes weighted to equal total weight.
+
+    Each row's node in each tree is kept from level to level, so that no level walks the
+    trees from their roots again; the forest is the same. The few levels need no checkpoint.
+    """
     rows = add_class_weight(df.select(*features, label), label)
     forest = RandomForestClassifier(
-        labelCol=label, weightCol="weight", numTrees=n_trees, maxDepth=depth, seed=seed, maxMemoryInMB=FOREST_MB
+        labelCol=label, weightCol="weight", numTrees=n_trees, maxDepth=depth, seed=seed, maxMemoryInMB=FOREST_MB,
+        cacheNodeIds=True, checkpointInterval=-1,
     )
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest]).fit(rows)
 

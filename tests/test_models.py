@@ -247,3 +247,13 @@ def test_factor_ranking(spark):
     got = values(attribution.factor_rows(df, ["id"], 3), "rank", "feature", "impact", "direction")
     assert got == [(1, "d", -3.0, "reduces"), (2, "a", 2.0, "increases"), (3, "b", -2.0, "reduces")]
     assert values(attribution.importance(df)) == [("d", 3.0), ("a", 2.0), ("b", 2.0), ("c", 0.5)]
+
+
+def test_forest_keeps_the_nodes_of_rows_between_levels(spark, monkeypatch):
+    df = spark.range(400).selectExpr("double(id % 7) a", "double(id % 11) b", "double(id % 7 > 3) y")
+    kept = models.train_forest(df, ["a", "b"], "y", n_trees=3, depth=4).stages[-1]
+    assert kept.getCacheNodeIds()
+    plain = models.RandomForestClassifier
+    monkeypatch.setattr(models, "RandomForestClassifier", lambda **kw: plain(**{**kw, "cacheNodeIds": False}))
+    assert models.train_forest(df, ["a", "b"], "y", n_trees=3, depth=4).stages[-1].toDebugString.split("\n")[1:] == \
+        kept.toDebugString.split("\n")[1:]
