@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from perilake.session import shared_root
 
+# Classes up to this number are broadcast; rows are then read in place and no class meets in one task.
+BROADCAST_CLASSES = 100_000
 # Digits by which one pass narrows the cut-off: at most 16^3 counts per class.
 STEP = 3
 AFTER_ALL_DIGITS = "g"
@@ -38,6 +40,11 @@ def train_and_test(df: DataFrame, key: str, share: float = 0.2, seed: int = 42)
     return df.where(~held), df.where(held)
 
 
+def _per_class(df: DataFrame) -> DataFrame:
+    """A stored table of one row per class, ready to be joined to the rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_CLASSES else df
+
+
 def class_cutoffs(df: DataFrame, label: str, key: str, share: float, seed: int) -> DataFrame:
     """Per class (``_label``), a text ``_cutoff`` that exactly ``ceil(share * rows)`` digests lie below.
 
@@ -51,7 +58,7 @@ def class_cutoffs(df: DataFrame, label: str, key: str, share: float, seed: int)
     need = F.ceil(F.lit(Decimal(str(share))) * F.col("n")).cast("long")
     state = sizes.select("_label", F.lit("").alias("_prefix"), need.alias("_need"), F.lit(False).alias("_found")).checkpoint()
     for length in [*range(STEP, 32, STEP), 32]:
-        searched = state.where(~F.col("_found")).select(F.col("_label").alias("_l"), "_prefix", "_need")
+        searched = _per_class(state.where(~F.col("_found")).select(F.col("_label").alias("_l"), "_prefix", "_need"))
         same = rows["_label"].eqNullSafe(F.col("_l")) & F.col("_digest").startswith(F.col("_prefix"))
         counts = rows.join(searched, same).groupBy("_label", "_need", F.substring("_digest", 1, length).alias("_prefix")) \
             .agg(F.count(F.lit(1)).alias("n"))
@@ -72,7 +79,7 @@ def exact_split(df: DataFrame, label: str, key: str, share: float = 0.2, seed: i
 
     Cut-offs are joined, one row per class, however many classes there are.
     """
-    cutoffs = class_cutoffs(df, label, key, share, seed)
+    cutoffs = _per_class(class_cutoffs(df, label, key, share, seed))
     below = F.coalesce(_digest(F.col(key), seed) < F.col("_cutoff"), F.lit(False))
     joined = df.join(cutoffs, F.col(label).eqNullSafe(F.col("_label")), "left")
     return joined.withColumn("is_test", below.cast("int")).drop("_label", "_cutoff")

@@ -63,3 +63,14 @@ def test_exact_split_of_very_many_classes(spark):
     df = spark.range(3000).select(F.col("id"), (F.col("id") % 150).alias("y"))
     sizes = sampling.exact_split(df, "y", "id", 0.25).groupBy("y").agg(F.sum("is_test").alias("n"))
     assert set(values(sizes, "n")) == {(5,)} and sizes.count() == 150
+
+
+def test_exact_split_reads_rows_of_few_classes_in_place(spark):
+    df = spark.range(1000).selectExpr("id", "id % 2 AS y").repartition(7).checkpoint()
+    with_shuffled_joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sampling.exact_split(df, "y", "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_shuffled_joins)
+    assert "hashpartitioning" not in plan
