@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from perilake.plans.catalog import plan
 from perilake.plans.checksql import over_both, over_claims, over_motor
@@ -12,16 +12,22 @@ from perilake.sources import files
 from perilake.sources.schemas import CATEGORIES, CLAIMS
 from perilake.streaming import refresh, summaries
 
-ARRIVAL_FILES = 3
+ARRIVALS = 3
 
 
 def _streamed(lake, feed: refresh.Feed) -> refresh.Refresh:
-    """Export the bronze rows as arriving files and stream them in, one per batch."""
-    root = lake.store.fresh_path("stream", feed.name)
-    files.write_csv(lake.bronze(feed.name).repartition(ARRIVAL_FILES), f"{root}/arrivals")
+    """Export the bronze rows as arrivals, dealt out row by row, and stream them in."""
+    place = F.monotonically_increasing_id() % ARRIVALS
+    return _arrived(lake, feed, feed.name, lake.bronze(feed.name).withColumn("_arrival", place))
+
+
+def _arrived(lake, feed: refresh.Feed, name: str, rows: DataFrame) -> refresh.Refresh:
+    """Stream rows in by their number ``_arrival``, one batch each; an arrival has as many files as its scan has tasks."""
+    root = lake.store.fresh_path("stream", name)
     job = refresh.Refresh(lake.spark, feed, root)
-    query = job.start(f"{root}/arrivals", files_per_batch=1, every=None)
-    query.awaitTermination()
+    for i in range(ARRIVALS):
+        files.write_csv(rows.where(F.col("_arrival") == i).drop("_arrival"), f"{root}/arrivals/{i}")
+        job.start(f"{root}/arrivals/*", every=None).awaitTermination()
     return job
 
 
@@ -30,7 +36,7 @@ def s01(lake):
     return _streamed(lake, refresh.CLAIMS_FEED).read("silver")
 
 
-_FIRST = ", ".join(f"min(ID % {ARRIVAL_FILES}) OVER (PARTITION BY {c}) AS first_{c}" for c in CATEGORIES)
+_FIRST = ", ".join(f"min(ID % {ARRIVALS}) OVER (PARTITION BY {c}) AS first_{c}" for c in CATEGORIES)
 _GROWN = "arrived AS (SELECT *, " + _FIRST + " FROM silver_claims), grown AS (SELECT " + ", ".join(
     f"CAST(dense_rank() OVER (ORDER BY first_{f.name}, {f.name}) - 1 AS INTEGER) AS {f.name}" if f.name in CATEGORIES else f.name
     for f in CLAIMS.fields) + " FROM arrived)"
@@ -47,14 +53,9 @@ _GROWN = "arrived AS (SELECT *, " + _FIRST + " FROM silver_claims), grown AS (SE
     ),
 )
 def s01_gold(lake):
-    """Codes follow the order of arrival: the file of an ID is its remainder."""
-    root = lake.store.fresh_path("stream", "gold_claims")
-    job = refresh.Refresh(lake.spark, refresh.CLAIMS_FEED, root)
-    for i in range(ARRIVAL_FILES):
-        files.write_csv(lake.bronze("claims").where(F.col("ID") % ARRIVAL_FILES == i).coalesce(1), f"{root}/arrivals/{i}")
-    # The stream takes files by time of writing.
-    job.start(f"{root}/arrivals/*", files_per_batch=1, every=None).awaitTermination()
-    return job.read("gold")
+    """Codes follow the order of arrival: the arrival of an ID is its remainder."""
+    rows = lake.bronze("claims").withColumn("_arrival", F.col("ID") % ARRIVALS)
+    return _arrived(lake, refresh.CLAIMS_FEED, "gold_claims", rows).read("gold")
 
 
 @plan("s02_stream_motor", over_motor("SELECT * FROM gold_motor"))
