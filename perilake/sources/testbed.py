@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from perilake.sources.tables import spread
 
+# Rows of a larger table that one task of a join holds, however many partitions the session asks for.
+JOINED_AT_ONCE = 250_000
+# Parts up to this number are broadcast, about 130 MB; more are joined by key.
+BROADCAST_PARTS = 1_500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,12 +32,22 @@ def _short_date(col: Column) -> Column:
 
 
 def motor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One policy per lineitem, every column as raw text."""
-    line = spread_table(spark, sf_dir, "lineitem")
-    orders, part = (table(spark, sf_dir, n) for n in ("orders", "part"))
-    joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        part, F.col("l_partkey") == F.col("p_partkey")
-    )
+    """One policy per lineitem, every column as raw text.
+
+    Lines of a large table are dealt out once, by the key of the join, over as many
+    tasks as there are rows for; a task's sorts do not grow with the table.
+    """
+    line, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
+    pieces = ceil(line.count() / JOINED_AT_ONCE)
+    large = pieces > spark.sparkContext.defaultParallelism
+    line = line.repartition(pieces, "l_orderkey") if large else spread(line)
+    orders = orders.repartition(pieces, "o_orderkey") if large else orders
+    policies = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if large and part.count() > BROADCAST_PARTS:
+        policies, part = policies.repartition(pieces, "l_partkey"), part.repartition(pieces, "p_partkey")
+    elif large:
+        part = F.broadcast(part)
+    joined = policies.join(part, F.col("l_partkey") == F.col("p_partkey"))
     price = _dec(F.col("l_extendedprice"), 12)
     rate = F.lit("0.01").cast(T.DecimalType(4, 2)) + _dec(F.col("l_tax"), 4)
     return joined.select(

@@ -1,10 +1,12 @@
+import datetime
+
 import pytest
 from conftest import values
 from pyspark.sql import types as T
 
 from perilake.plans import reports
 from perilake.plans.medallion import Lake
-from perilake.sources import files, tables
+from perilake.sources import files, tables, testbed
 from perilake.sources.schemas import CLAIMS
 
 
@@ -107,3 +109,25 @@ def test_exports_can_be_removed(spark, tmp_path):
     store.write(spark.range(3), "gold", "n")
     assert store.clean_exports() == 1 and store.read("gold", "n").count() == 3
     assert not list((tmp_path / "exports").iterdir())
+
+
+@pytest.mark.parametrize("parts", [0, 100])
+def test_lines_of_a_large_table_are_dealt_out_once(spark, tmp_path, monkeypatch, parts):
+    lines = [(i % 90 if i % 11 else None, i % 7, i, 5.0 + i, 100.0 + i, 0.05, 0.02, "R", datetime.date(2020, 1, 1 + i % 28))
+             for i in range(300)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string, l_shipdate date").write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = [(i, "3-MEDIUM", datetime.date(2019, 5, 5)) for i in range(80)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, f"t{i}", "b", i) for i in range(6)], "p_partkey long, p_type string, p_brand string, p_size int") \
+        .write.parquet(str(tmp_path / "part.parquet"))
+    whole = testbed.motor_raw(spark, str(tmp_path))
+    want = sorted(map(str, values(whole)))
+    monkeypatch.setattr(testbed, "JOINED_AT_ONCE", 15)
+    monkeypatch.setattr(testbed, "BROADCAST_PARTS", parts)
+    monkeypatch.setattr(testbed, "spread", None)
+    dealt = testbed.motor_raw(spark, str(tmp_path))
+    assert len(want) > 200 and sorted(map(str, values(dealt))) == want
+    plan = dealt._jdf.queryExecution().toString()
+    assert "hashpartitioning(l_orderkey" in plan and ", 20), REPARTITION_BY_NUM" in plan
+    assert ("hashpartitioning(l_partkey" in plan) == (parts == 0)
