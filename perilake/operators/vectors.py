@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from hashlib import md5
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, SQLTransformer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from perilake.session import shared_root
 
@@ -21,17 +24,60 @@ QUESTION_BLOCK = 2_000
 CORPUS_BLOCK = 50_000
 PAIRS_AT_ONCE = 4_000_000
 DISTANCE_DIGITS = 9
+# Distinct words of a batch that are hashed at a time.
+WORDS_AT_ONCE = 1 << 16
+
+
+def _split(col: str) -> str:
+    return f"split(lower({col}), '[^\\\\p{{L}}\\\\p{{N}}]+')"
 
 
 def _words(col: str) -> str:
-    words = f"split(lower({col}), '[^\\\\p{{L}}\\\\p{{N}}]+')"
-    return f"transform(filter({words}, w -> w <> ''), w -> substr(md5(w), 1, {HASH_DIGITS}))"
+    return f"transform(filter({_split(col)}, w -> w <> ''), w -> substr(md5(w), 1, {HASH_DIGITS}))"
+
+
+def slots_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Text and slot of each word of a batch of split texts, as ``_words`` gives them.
+
+    Each distinct word of the batch is hashed once, in pieces of bounded size.
+    """
+    words = texts.flatten().cast(pa.large_binary()).dictionary_encode()
+    slot = np.full(len(words.dictionary), -1)
+    for start in range(0, len(slot), WORDS_AT_ONCE):
+        some = words.dictionary.slice(start, WORDS_AT_ONCE).to_pylist()
+        slot[start:start + len(some)] = [int(md5(w).hexdigest()[:HASH_DIGITS], 16) if w else -1 for w in some]
+    slots = slot[words.indices.to_numpy()]
+    at = np.repeat(np.arange(len(texts)), texts.value_lengths().to_numpy(zero_copy_only=False))
+    return at[slots >= 0], slots[slots >= 0]
+
+
+def present_slots(corpus: DataFrame, col: str) -> DataFrame:
+    """One row per text: ``_counts``, a sparse vector with a 1 for each slot that the text has."""
+    names = ("type", "size", "indices", "values")
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            at, slots = slots_of(batch.column(0))
+            # One flag per text and slot: 41 MB for Spark's 10,000 rows a batch.
+            seen = np.zeros(n * SLOTS, bool)
+            seen[at * SLOTS + slots] = True
+            at, slots = np.divmod(np.flatnonzero(seen), SLOTS)
+            ends = pa.array(np.searchsorted(at, np.arange(n + 1)).astype(np.int32))
+            parts = (pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, SLOTS, np.int32)),
+                     pa.ListArray.from_arrays(ends, pa.array(slots.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(np.ones(len(slots)))))
+            fields = [pa.field(f, p.type, f != "type") for f, p in zip(names, parts)]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(parts, fields=fields)], names=["_counts"])
+
+    kind = T.StructType([T.StructField("_counts", VectorUDT())])
+    return corpus.select(F.expr(f"coalesce({_split(col)}, array())")).mapInArrow(run, kind)
 
 
 def fit_embedder(corpus: DataFrame, col: str = "text") -> PipelineModel:
     """Term weights of a corpus: words hashed to slots, slots weighted by rarity.
 
-    Counting is map-only; the fit aggregates one number per slot.
+    Counting is map-only; the fit aggregates one number per slot. Weights depend on which
+    slots a text has, so that the fit reads those alone.
     """
     stages = [
         SQLTransformer(statement=f"SELECT *, coalesce({_words(col)}, array()) AS _terms FROM __THIS__"),
@@ -39,8 +85,7 @@ def fit_embedder(corpus: DataFrame, col: str = "text") -> PipelineModel:
             [format(i, f"0{HASH_DIGITS}x") for i in range(SLOTS)], inputCol="_terms", outputCol="_counts"
         ),
     ]
-    counted = PipelineModel(stages)
-    idf = IDF(inputCol="_counts", outputCol="_weights").fit(counted.transform(corpus.select(col)))
+    idf = IDF(inputCol="_counts", outputCol="_weights").fit(present_slots(corpus, col))
     return PipelineModel([*stages, idf])
 
 
@@ -58,32 +103,31 @@ def fold(rows: np.ndarray, slots: np.ndarray, n: int, weights: np.ndarray, dim:
     return out / np.where(norm == 0, 1.0, norm)[:, None]
 
 
-def embed_text(df: DataFrame, embedder: PipelineModel, dim: int = DIM, name: str = "embedding") -> DataFrame:
+def embed_text(
+    df: DataFrame, embedder: PipelineModel, dim: int = DIM, name: str = "embedding", keep: Sequence[str] | None = None
+) -> DataFrame:
     """Add a unit vector of ``dim`` floats; text without known words gives zeros.
 
-    Words become slots in the JVM; an Arrow batch of them is folded at once. No row
-    leaves its task.
+    Texts are split in the JVM; an Arrow batch of words is hashed and folded at once. No
+    row leaves its task. Only the columns ``keep`` come along, all where it is not given.
     """
     source = embedder.stages[0].getStatement()
-    terms = source[source.index("coalesce("):source.rindex(" AS _terms")]
+    words = source[source.index("split("):source.index(", w -> w <> ''")]
     # SLOTS numbers, whatever the corpus.
     weights = df.sparkSession.sparkContext.broadcast(embedder.stages[-1].idf.toArray())
-    held = [f"_k{i}" for i in range(len(df.columns))]
-    slots = F.expr(f"transform({terms}, w -> cast(conv(w, 16, 10) as int))")
-    rows = df.select("*", slots.alias("_slots")).toDF(*held, "_slots")
+    keep = df.columns if keep is None else list(keep)
+    held = [f"_k{i}" for i in range(len(keep))]
+    rows = df.select(*keep, F.expr(f"coalesce({words}, array())").alias("_words")).toDF(*held, "_words")
 
     def run(batches):
         for batch in batches:
-            found = batch.column("_slots")
-            words = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy(zero_copy_only=False))
-            out = fold(at, words, len(found), weights.value, dim).astype(np.float32)
-            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * dim)
+            out = fold(*slots_of(batch.column("_words")), batch.num_rows, weights.value, dim).astype(np.float32)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(h) for h in held), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=[*held, "_v"])
 
-    kinds = ", ".join(f"{h} {t}" for h, (_, t) in zip(held, df.dtypes))
-    return rows.mapInArrow(run, f"{kinds}, _v array<float>").toDF(*df.columns, name)
+    kinds = ", ".join(f"{h} {t}" for h, (_, t) in zip(held, df.select(*keep).dtypes))
+    return rows.mapInArrow(run, f"{kinds}, _v array<float>").toDF(*keep, name)
 
 
 # --- nearest neighbours ------------------------------------------------------

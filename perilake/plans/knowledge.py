@@ -126,7 +126,7 @@ def document_embedder(lake):
 
 def document_vectors(lake) -> DataFrame:
     def build():
-        return vectors.embed_text(documents(lake), document_embedder(lake)).drop("text")
+        return vectors.embed_text(documents(lake), document_embedder(lake), keep=["doc_id"])
 
     return lake.stored("gold", "document_vectors", build)
 
@@ -204,7 +204,7 @@ _ITEMS = "items AS (SELECT item_id, text FROM benchmark)"
 )
 def v03(lake):
     items = lake.table("benchmark").select(F.col("item_id").alias("question_id"), "text")
-    asked = vectors.embed_text(items, document_embedder(lake))
+    asked = vectors.embed_text(items, document_embedder(lake), keep=["question_id"])
     return vectors.knn_grid(asked, document_vectors(lake), K, corpus_id="doc_id")
 
 
@@ -214,7 +214,7 @@ def questions(lake) -> DataFrame:
 
 def asked_vectors(lake) -> DataFrame:
     texts = questions(lake).withColumnRenamed("question", "text")
-    return vectors.embed_text(texts, chunk_embedder(lake)).drop("text")
+    return vectors.embed_text(texts, chunk_embedder(lake), keep=["question_id"])
 
 
 def chunk_hits(lake, k: int = K) -> DataFrame:

@@ -80,3 +80,22 @@ def test_rows_without_an_id_take_no_part(spark):
     c = spark.createDataFrame([("a", [0.0, 1.0]), (None, [0.0, 0.0])], "chunk_id string, embedding array<double>")
     for search in (vectors.knn, vectors.knn_grid):
         assert values(search(q, c, 2), "question_id", "chunk_id", "rank") == [(1, "a", 1)]
+
+
+def test_slots_are_those_of_the_statement_and_each_word_is_hashed_once(spark, monkeypatch):
+    texts = ["Émile's 2 cats, CATS; cats", "  --  ", "", None, "naïve ǅ word" * 3, "x " * 50, "cats\tx"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    model = vectors.fit_embedder(df)
+    terms = model.stages[0].transform(df).orderBy("id").collect()
+    split = df.orderBy("id").select(F.expr(f"coalesce({vectors._split('text')}, array())").alias("w")).toArrow()["w"].combine_chunks()
+    hashed, plain = [], vectors.md5
+    monkeypatch.setattr(vectors, "md5", lambda w: hashed.append(w) or plain(w))
+    monkeypatch.setattr(vectors, "WORDS_AT_ONCE", 3)
+    at, slots = vectors.slots_of(split)
+    want = [(r["id"], int(h, 16)) for r in terms for h in r["_terms"]]
+    assert [*zip(at.tolist(), slots.tolist())] == want and len(want) > 50
+    assert len(hashed) == len(set(hashed)) < 12
+    distinct = [sorted({int(h, 16) for h in r["_terms"]}) for r in terms]
+    assert [r["_counts"].indices.tolist() for r in vectors.present_slots(df, "text").collect()] == distinct
+    assert model.stages[-1].docFreq[int(plain(b"cats").hexdigest()[:3], 16)] == 2
+    assert vectors.embed_text(df, model, keep=["id"]).columns == ["id", "embedding"]
