@@ -10,7 +10,7 @@ from perilake.sources.tables import spread
 
 # Rows of a larger table that one task of a join holds, however many partitions the session asks for.
 JOINED_AT_ONCE = 250_000
-# Parts up to this number are broadcast, about 130 MB; more are joined by key.
+# Parts or customers up to this number are broadcast, about 130 MB; more are joined by key.
 BROADCAST_PARTS = 1_500_000
 
 
@@ -74,20 +74,31 @@ def _choose(code: Column, *names: str) -> Column:
 
 
 def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One driver per order; rows with ``ID % 97 = 0`` arrive twice."""
+    """One driver per order; rows with ``ID % 97 = 0`` arrive twice.
+
+    Lines and orders of large tables are dealt out by order key as in ``motor_raw``.
+    """
     line, orders, customer = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer"))
-    # Lines are counted per order before the join, so the join is one-to-one.
-    counts = line.groupBy("l_orderkey").agg(
-        F.count_if(F.col("l_returnflag") == "R").alias("acc"),
-        F.count_if(F.col("l_discount") > 0.085).alias("spd"),
-        F.count_if(F.col("l_tax") > 0.075).alias("dui"),
+    pieces = ceil(line.count() / JOINED_AT_ONCE)
+    large = pieces > spark.sparkContext.defaultParallelism
+    flags = line.select(
+        "l_orderkey",
+        (F.col("l_returnflag") == "R").alias("acc"),
+        (F.col("l_discount") > 0.085).alias("spd"),
+        (F.col("l_tax") > 0.075).alias("dui"),
     )
+    flags = flags.repartition(pieces, "l_orderkey") if large else flags
+    orders = orders.repartition(pieces, "o_orderkey") if large else orders
+    # Lines are counted per order before the join, so the join is one-to-one.
+    counts = flags.groupBy("l_orderkey").agg(*[F.count_if(c).alias(c) for c in ("acc", "spd", "dui")])
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     acc, spd, dui = (F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("acc", "spd", "dui"))
-    joined = (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    )
+    counted = orders.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    if large and customer.count() > BROADCAST_PARTS:
+        counted, customer = counted.repartition(pieces, "o_custkey"), customer.repartition(pieces, "c_custkey")
+    elif large:
+        customer = F.broadcast(customer)
+    joined = counted.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     priority, segment = F.col("o_orderpriority"), F.col("c_mktsegment")
     rows = joined.select(
         key.alias("ID"),

@@ -131,3 +131,23 @@ def test_lines_of_a_large_table_are_dealt_out_once(spark, tmp_path, monkeypatch,
     plan = dealt._jdf.queryExecution().toString()
     assert "hashpartitioning(l_orderkey" in plan and ", 20), REPARTITION_BY_NUM" in plan
     assert ("hashpartitioning(l_partkey" in plan) == (parts == 0)
+
+
+@pytest.mark.parametrize("customers", [0, 100])
+def test_claims_of_a_large_table_are_dealt_out_by_order(spark, tmp_path, monkeypatch, customers):
+    flags = [("R", 0.09, 0.08), ("N", 0.01, 0.01), (None, None, None)]
+    lines = [(i % 90 if i % 11 else None, *flags[i % 3]) for i in range(300)]
+    spark.createDataFrame(lines, "l_orderkey long, l_returnflag string, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    # Orders without a key, without lines, twice, and of customers that are missing, twice or without a key.
+    orders = [(i if i % 13 else None, i % 9 if i % 7 else None, "P" if i % 4 else "F", "3-MEDIUM") for i in [*range(120), 5, 5]]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    people = [(i, i + 1, 10.5 * i, "BUILDING") for i in (0, 1, 2, 2, 3, 5, 6)] + [(None, 1, 0.0, "MACHINERY")]
+    spark.createDataFrame(people, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    want = sorted(map(str, values(testbed.claims_raw(spark, str(tmp_path)))))
+    monkeypatch.setattr(testbed, "JOINED_AT_ONCE", 15)
+    monkeypatch.setattr(testbed, "BROADCAST_PARTS", customers)
+    dealt = testbed.claims_raw(spark, str(tmp_path))
+    assert len(want) > 80 and sorted(map(str, values(dealt))) == want
+    plan = dealt._jdf.queryExecution().toString()
+    assert plan.count(", 20), REPARTITION_BY_NUM") >= 2 and "hashpartitioning(l_orderkey" in plan and "hashpartitioning(o_orderkey" in plan
+    assert ("hashpartitioning(c_custkey" in plan) == (customers == 0)
