@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from perilake.functions import risk
 from perilake.functions.numeric import exact_sum, round_to
-from perilake.operators import trees
+from perilake.operators import forests, trees
 from perilake.operators.attribution import top_factors
 from perilake.operators.features import add_driver_features
 from perilake.operators.metrics import score_quality
@@ -25,6 +25,8 @@ from perilake.sources.schemas import FEATURES, TARGET
 
 #: Statistics of a forest's nodes that are gathered at a time; fewer passes over the rows than with Spark's 256.
 FOREST_MB = 1024
+#: Rows up to which Spark's trainer grows the forest; it keeps 1.8 KB a row for 200 trees. See ``forests`` for more rows.
+SPARK_ROWS = 1_000_000
 
 
 def train_forest(
@@ -34,18 +36,25 @@ def train_forest(
     n_trees: int = 200,
     depth: int = 10,
     seed: int = 42,
+    spark_rows: int = SPARK_ROWS,
 ) -> PipelineModel:
     """Random forest with classes weighted to equal total weight.
 
-    Each row's node in each tree is kept from level to level, so that no level walks the
-    trees from their roots again; the forest is the same. The few levels need no checkpoint.
+    Up to ``spark_rows`` rows, Spark's trainer keeps each row's node in each tree from level
+    to level, so that no level walks the trees from their roots again. The few levels need no
+    checkpoint. More rows are counted by ``forests``, by the same rules with other draws.
     """
     rows = add_class_weight(df.select(*features, label), label)
     forest = RandomForestClassifier(
         labelCol=label, weightCol="weight", numTrees=n_trees, maxDepth=depth, seed=seed, maxMemoryInMB=FOREST_MB,
         cacheNodeIds=True, checkpointInterval=-1,
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest]).fit(rows)
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    n, zero, one = df.agg(F.count(F.lit(1)), F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
+    if n <= spark_rows:
+        return Pipeline(stages=[assembler, forest]).fit(rows)
+    weights = tuple((zero + one) / (2.0 * k) if k else 1.0 for k in (zero, one))
+    return PipelineModel([assembler, forests.fit(assembler.transform(rows), forest, n, weights)])
 
 
 def train_boosted(
