@@ -245,6 +245,22 @@ def grow_trees(
     return grown
 
 
+def known_rows(rows: DataFrame, trainer) -> DataFrame:
+    """Features and labels by the columns of a trainer, as (_x, _y); labels other than 0 and 1 are an error."""
+    label = F.col(trainer.getLabelCol()).cast("double")
+    known = F.when(label.isin(0.0, 1.0), label).otherwise(F.raise_error(F.lit("labels must be 0 or 1")).cast("double"))
+    return rows.select(vector_to_array(trainer.getFeaturesCol()).alias("_x"), known.alias("_y"))
+
+
+def sampled_cuts(rows: DataFrame, n_rows: int, seed: int, weights: np.ndarray) -> list[np.ndarray]:
+    """The cuts of each feature, from a sample of rows (_x, _y)."""
+    sample = rows.sample(min(1.0, SAMPLED / n_rows), seed) if n_rows > SAMPLED else rows
+    sample = sample.toArrow()
+    y = sample.column("_y").to_numpy()
+    x = sample.column("_x").combine_chunks().values.to_numpy().reshape(len(y), -1)
+    return [midpoints(column, weights[y.astype(int)]) for column in x.T]
+
+
 def fit(
     rows: DataFrame, forest: RandomForestClassifier, n_rows: int, weights: tuple[float, float],
 ) -> RandomForestClassificationModel:
@@ -253,15 +269,9 @@ def fit(
     ``weights`` are those of the two classes. Of the settings, the number of trees, depth
     and seed may differ from Spark's defaults.
     """
-    spark, label = rows.sparkSession, F.col(forest.getLabelCol()).cast("double")
-    known = F.when(label.isin(0.0, 1.0), label).otherwise(F.raise_error(F.lit("labels must be 0 or 1")).cast("double"))
-    rows = rows.select(vector_to_array(forest.getFeaturesCol()).alias("_x"), known.alias("_y"))
-    sample = rows.sample(min(1.0, SAMPLED / n_rows), forest.getSeed()) if n_rows > SAMPLED else rows
-    sample = sample.toArrow()
-    weights = np.array(weights)
-    y = sample.column("_y").to_numpy()
-    x = sample.column("_x").combine_chunks().values.to_numpy().reshape(len(y), -1)
-    cuts = [midpoints(column, weights[y.astype(int)]) for column in x.T]
+    spark, weights = rows.sparkSession, np.array(weights)
+    rows = known_rows(rows, forest)
+    cuts = sampled_cuts(rows, n_rows, forest.getSeed(), weights)
     blocks = as_blocks(rows, cuts, n_rows)
     grown = grow_trees(blocks, len(cuts), weights, forest.getNumTrees(), forest.getMaxDepth(), forest.getSeed())
     nodes = pa.concat_tables([tree.table(t, cuts) for t, tree in enumerate(grown)])
