@@ -26,7 +26,7 @@ def _arrived(lake, feed: refresh.Feed, name: str, rows: DataFrame) -> refresh.Re
     root = lake.store.fresh_path("stream", name)
     job = refresh.Refresh(lake.spark, feed, root)
     for i in range(ARRIVALS):
-        files.write_csv(rows.where(F.col("_arrival") == i).drop("_arrival"), f"{root}/arrivals/{i}")
+        files.write_csv(rows.where(F.col("_arrival") == i).drop("_arrival"), f"{root}/arrivals/{i}", "gzip")
         job.start(f"{root}/arrivals/*", every=None).awaitTermination()
     return job
 

@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -34,8 +35,18 @@ BUCKET = "bucket"
 BUCKETS = 32
 # So many folders of seen rows become one.
 FAN_IN = 16
-# Repeated keys up to this number are looked up by value in the stored rows.
+# Repeated keys up to this number are looked up by value in the stored rows, and up to the second one by a broadcast.
 LOOKUP_KEYS = 1_000
+BROADCAST_KEYS = 1_000_000
+# Rows, about, that a task holds while rows are compared, however many partitions the session asks for.
+ROWS_AT_ONCE = 500_000
+# Tasks of the comparison read, and take from a shuffle, about so much; a compressed row has 25 to 60 bytes.
+SIZED = {
+    "spark.sql.files.maxPartitionBytes": "16m", "spark.sql.files.openCostInBytes": "1m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+# Of the tables that the stream keeps.
+COMPRESSION = "zstd"
 
 CODES = T.StructType([
     T.StructField("column_name", T.StringType()), T.StructField("value", T.StringType()), T.StructField("code", T.IntegerType())])
@@ -73,6 +84,20 @@ class Refresh:
         self.spark = spark
         self.feed = feed
         self.root = f"{root.rstrip('/')}/{feed.name}"
+        self._sized: SparkSession | None = None
+
+    def sized(self, rows: int) -> SparkSession:
+        """A session with the settings of the stream's own, but tasks by the number of rows; one per stream."""
+        if self._sized is None:
+            self._sized = self.spark.newSession()
+            for key, value in self.spark.conf.getAll.items():
+                if self.spark.conf.isModifiable(key):
+                    self._sized.conf.set(key, value)
+            for key, value in SIZED.items():
+                self._sized.conf.set(key, value)
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self._sized.conf.set("spark.sql.shuffle.partitions", max(least, ceil(rows / ROWS_AT_ONCE)))
+        return self._sized
 
     def path(self, table: str, batch_id: int | None = None) -> str:
         folder = f"{self.root}/{table}"
@@ -108,7 +133,7 @@ class Refresh:
     def _save(self, df: DataFrame, table: str, batch_id: int) -> DataFrame:
         """Write one batch folder and go on from the stored rows."""
         path = self.path(table, batch_id)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=COMPRESSION)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _keyed(self, df: DataFrame) -> DataFrame:
@@ -116,6 +141,8 @@ class Refresh:
 
     def take_in(self, batch: DataFrame, batch_id: int) -> None:
         raw = self._save(normalize_missing(batch), "bronze", batch_id)
+        # The number comes from the files' footers.
+        raw = self.sized(raw.count()).read.schema(raw.schema).parquet(self.path("bronze", batch_id))
         fresh = self.new_rows(raw, batch_id).drop(KEY)
         silver = self._save(self.feed.typed(fresh), "silver", batch_id)
         # Gold and partials both start from stored silver, so they run side by side.
@@ -183,41 +210,60 @@ class Refresh:
         size = FAN_IN
         while batch_id and batch_id % size == 0:
             small, first = size // FAN_IN, batch_id - size
-            rows = self._seen([self._segment(small, at) for at in range(first, batch_id, small)])
-            self._write_seen(cleaning.dedup(rows), self._segment(size, first))
+            folders = [self._segment(small, at) for at in range(first, batch_id, small)]
+            rows = self._seen(folders, self.sized(self._seen(folders).count()))
+            # Ranges keep a bucket's rows in few files and still split a bucket that is too large for one task.
+            self._write_seen(cleaning.dedup(rows).repartitionByRange(BUCKET, KEY), self._segment(size, first))
             size *= FAN_IN
 
-    def _seen(self, folders: list[str]) -> DataFrame:
+    def _seen(self, folders: list[str], spark: SparkSession | None = None) -> DataFrame:
+        spark = spark or self.spark
         kinds = T.StructType([*self.feed.schema.fields, T.StructField(KEY, T.LongType()), T.StructField(BUCKET, T.IntegerType())])
         if not folders:
-            return self.spark.createDataFrame([], kinds)
-        return reduce(DataFrame.unionByName, [self.spark.read.schema(kinds).parquet(f) for f in folders])
+            return spark.createDataFrame([], kinds)
+        return reduce(DataFrame.unionByName, [spark.read.schema(kinds).parquet(f) for f in folders])
 
     def _write_seen(self, rows: DataFrame, path: str) -> None:
-        # Ranges keep a bucket's rows in few files and still split a bucket that is too large for one task.
-        rows.repartitionByRange(BUCKET, KEY).sortWithinPartitions(BUCKET, KEY).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+        rows.sortWithinPartitions(BUCKET, KEY).write.mode("overwrite").partitionBy(BUCKET).parquet(path, compression=COMPRESSION)
 
     def new_rows(self, raw: DataFrame, batch_id: int) -> DataFrame:
         """Distinct usable rows of the batch that no earlier batch held.
 
-        A stored folder holds a row once, so no key is hot on that side. The first look
-        reads the key column of the batch's own buckets only. A repeated key is then
-        confirmed on the full row, by value when few keys repeat.
+        A stored folder holds a row once, so no key is hot on that side. A batch is written
+        as its deduplication leaves it, so its rows are shuffled once; folders are put in order
+        when they are merged. The first look reads the key column of the batch's own buckets
+        only. A repeated key is then confirmed on the full row: by value when few keys repeat,
+        by a broadcast of the keys when more do, so that other rows are not shuffled.
         """
         self._merge_segments(batch_id)
+        spark = raw.sparkSession
         bucket = F.pmod(F.col(KEY), F.lit(BUCKETS)).cast("int")
         self._write_seen(self._keyed(cleaning.dedup(self.feed.usable(raw))).withColumn(BUCKET, bucket), self._segment(1, batch_id))
-        stored = self._seen([self._segment(1, batch_id)])
+        stored = self._seen([self._segment(1, batch_id)], spark)
         mine = stored.drop(BUCKET)
         touched = [r[0] for r in stored.select(BUCKET).distinct().collect()]  # BUCKETS numbers at most
-        seen = self._seen(self.segments(batch_id)).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
-        repeated = seen.select(KEY).join(mine.select(KEY), KEY, "left_semi").distinct()
-        keys = [r[0] for r in repeated.limit(LOOKUP_KEYS + 1).collect()]
-        if not keys:
+        folders = self.segments(batch_id)
+        if not folders:
+            return mine
+        seen = self._seen(folders, spark).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+        path = f"{self.root}/repeated/{BATCH}={batch_id}"
+        seen.select(KEY).join(mine.select(KEY), KEY, "left_semi").distinct().write.mode("overwrite").parquet(path, compression=COMPRESSION)
+        repeated = spark.read.schema(f"{KEY} long").parquet(path)
+        n = repeated.count()
+        if not n:
             return mine
-        known = seen.where(F.col(KEY).isin(keys)) if len(keys) <= LOOKUP_KEYS else seen
-        known = known.alias("s").join(mine.alias("m"), self._same_row("s", "m"), "left_semi")
-        return mine.alias("m").join(known.alias("s"), self._same_row("m", "s"), "left_anti")
+        if n > BROADCAST_KEYS:
+            return self._unknown(mine, seen)
+        if n <= LOOKUP_KEYS:
+            here = F.col(KEY).isin([r[0] for r in repeated.collect()])
+            return mine.where(~here).unionByName(self._unknown(mine.where(here), seen.where(here)))
+        keys = F.broadcast(repeated)
+        met = self._unknown(mine.join(keys, KEY, "left_semi"), seen.join(keys, KEY, "left_semi"))
+        return mine.join(keys, KEY, "left_anti").unionByName(met)
+
+    def _unknown(self, mine: DataFrame, seen: DataFrame) -> DataFrame:
+        """The rows of ``mine`` that are not among ``seen``."""
+        return mine.alias("m").join(seen.alias("s"), self._same_row("m", "s"), "left_anti")
 
     def _same_row(self, left: str, right: str) -> Column:
         equal = [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in self.feed.schema.names]

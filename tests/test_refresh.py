@@ -3,6 +3,7 @@ from conftest import values
 from pyspark.sql import functions as F
 
 from perilake.operators import cleaning, features
+from perilake.plans import incremental
 from perilake.sources import files
 from perilake.sources.schemas import CATEGORIES
 from perilake.streaming import refresh, summaries
@@ -133,3 +134,62 @@ def test_quoted_line_breaks_arrive_whole(spark, tmp_path):
     job = refresh.Refresh(spark, refresh.MOTOR_FEED, str(tmp_path))
     job.start(f"{tmp_path}/arrivals/*", every=None, line_breaks=True).awaitTermination()
     assert values(job.read("silver"), "MAKE", "USAGE") == [("A\nB", 'x, "y"')]
+
+
+def test_arrivals_are_compressed_and_whole(lake, monkeypatch):
+    """The stream's own input copy of the rows takes a fraction of their text."""
+    class Taken:
+        def awaitTermination(self):
+            pass
+
+    monkeypatch.setattr(refresh.Refresh, "start", lambda self, arrivals, **kw: Taken())
+    bronze = lake.bronze("motor")
+    root = incremental._streamed(lake, refresh.MOTOR_FEED).root.rsplit("/", 1)[0]
+    stored = lake.spark.read.format("binaryFile").load(f"{root}/arrivals/*/part-*").select("path", "length")
+    assert stored.where(~F.col("path").endswith(".csv.gz")).isEmpty()
+    text = bronze.select(F.sum(sum(F.coalesce(F.length(c), F.lit(0)) + 1 for c in bronze.columns))).first()[0]
+    assert stored.agg(F.sum("length")).first()[0] < text / 2
+    assert same(files.read_csv(lake.spark, f"{root}/arrivals/*", refresh.MOTOR_FEED.schema), bronze)
+
+
+def test_rows_of_a_batch_are_dealt_out_once(spark, lake, tmp_path, monkeypatch):
+    """Deduplication places the rows; only merged folders are put in order by a second shuffle."""
+    frames, dealt = type(spark.range(0)), []
+    plain = frames.repartitionByRange
+    monkeypatch.setattr(frames, "repartitionByRange", lambda self, *a: dealt.append(a) or plain(self, *a))
+    monkeypatch.setattr(refresh, "FAN_IN", 2)
+    job, rows = refresh.Refresh(spark, refresh.MOTOR_FEED, str(tmp_path)), lake.bronze("motor").distinct().limit(150).collect()
+    frame = lambda n: spark.createDataFrame(rows[:n], refresh.MOTOR_FEED.schema)
+    usable = [refresh.MOTOR_FEED.usable(frame(n)).count() for n in (50, 100, 150)]
+    assert [job.new_rows(frame(50), 0).count(), job.new_rows(frame(100), 1).count()] == [usable[0], usable[1] - usable[0]]
+    assert not dealt
+    assert job.new_rows(frame(150), 2).count() == usable[2] - usable[1]
+    assert len(dealt) == 1
+
+
+def test_tasks_are_sized_by_rows(spark, tmp_path):
+    """Whatever the session asks for, and without a change to it."""
+    job, name = refresh.Refresh(spark, refresh.MOTOR_FEED, str(tmp_path)), "spark.sql.shuffle.partitions"
+    before = spark.conf.getAll
+    assert job.sized(10).conf.get(name) == spark.conf.get(name)
+    assert job.sized(72_000_000).conf.get(name) == "144"
+    assert job.sized(10).conf.get(name) == spark.conf.get(name)
+    assert {k: v for k, v in job.sized(10).conf.getAll.items() if k not in refresh.SIZED and spark.conf.isModifiable(k)} == \
+        {k: v for k, v in before.items() if k not in refresh.SIZED and spark.conf.isModifiable(k)}
+    assert spark.conf.getAll == before
+
+
+@pytest.mark.parametrize("lookup, broadcast", [(1000, 1000), (0, 1000), (0, 0)])
+def test_rows_that_share_a_key_are_told_apart(spark, tmp_path, monkeypatch, lookup, broadcast):
+    """Three keys for all rows: repeats go, other rows of the same key stay, nulls equal nulls."""
+    monkeypatch.setattr(refresh, "LOOKUP_KEYS", lookup)
+    monkeypatch.setattr(refresh, "BROADCAST_KEYS", broadcast)
+    job = refresh.Refresh(spark, refresh.MOTOR_FEED, str(tmp_path))
+    monkeypatch.setattr(job, "_keyed", lambda df: df.withColumn(refresh.KEY, F.pmod(F.col("PREMIUM").cast("long"), F.lit(3))))
+    row = lambda i: ("Bus", None if i % 2 else "A", "x", "100.0", str(i), None, "2001", "01-JAN-14", None)
+    frame = lambda numbers: spark.createDataFrame([row(i) for i in numbers], refresh.MOTOR_FEED.schema)
+    premiums = lambda df: sorted(int(r["PREMIUM"]) for r in df.collect())
+    assert premiums(job.new_rows(frame([1, 2, 2, 3, 4]), 0)) == [1, 2, 3, 4]
+    assert premiums(job.new_rows(frame([2, 3, 5, 6, 6]), 1)) == [5, 6]
+    assert premiums(job.new_rows(frame([6, 7, 1]), 2)) == [7]
+    assert premiums(job.new_rows(frame([1, 2]), 3)) == []
